@@ -36,8 +36,11 @@ class Condition:
         return Condition(f"not ({self.text})", lambda df: ~self.on(df))
 
 
-def _sure(c: Column, if_missing: bool = False) -> Column:
-    return F.coalesce(c, F.lit(if_missing))
+def _known(test: Column, *inputs: Column) -> Column:
+    """The test, false where an input is missing; written so that it still reaches the scan."""
+    for c in inputs or (test,):
+        test = c.isNotNull() & test
+    return test
 
 
 def all_of(*conditions: Condition) -> Condition:
@@ -64,7 +67,7 @@ def isin(col: str, values: Sequence) -> Condition:
     with_missing = len(wanted) < len(values)
 
     def build(df: DataFrame) -> Column:
-        hit = _sure(quoted(col).isin(wanted)) if wanted else F.lit(False)
+        hit = _known(quoted(col).isin(wanted), quoted(col)) if wanted else F.lit(False)
         return hit | missing(df, col) if with_missing else hit
 
     return Condition(f"{col} is one of {values}", build)
@@ -81,21 +84,21 @@ def _text(df: DataFrame, col: str) -> Column:
 
 
 def starts_with(col: str, text: str) -> Condition:
-    return Condition(f"{col} starts with {text!r}", lambda df: _sure(_text(df, col).startswith(text)))
+    return Condition(f"{col} starts with {text!r}", lambda df: _known(_text(df, col).startswith(text), quoted(col)))
 
 
 def ends_with(col: str, text: str) -> Condition:
-    return Condition(f"{col} ends with {text!r}", lambda df: _sure(_text(df, col).endswith(text)))
+    return Condition(f"{col} ends with {text!r}", lambda df: _known(_text(df, col).endswith(text), quoted(col)))
 
 
 def contains(col: str, text: str, case: bool = False, regex: bool = False) -> Condition:
     def build(df: DataFrame) -> Column:
         c = _text(df, col)
         if regex:
-            return _sure(c.rlike(text if case else "(?i)" + text))
+            return _known(c.rlike(text if case else "(?i)" + text), c)
         if case:
-            return _sure(c.contains(text))
-        return _sure(F.lower(c).contains(text.lower()))
+            return _known(c.contains(text), c)
+        return _known(F.lower(c).contains(text.lower()), c)
 
     return Condition(f"{col} contains {text!r}", build)
 
@@ -131,9 +134,10 @@ def _operand(df: DataFrame, col: str, value) -> Column:
     return F.lit(value)
 
 
-def _not_nan(df: DataFrame, col: str, c: Column) -> Column:
-    # Spark orders NaN above every number; here it counts as missing
-    return c & ~F.isnan(quoted(col)) if isinstance(dtype(df, col), FLOATS) else c
+def _literal(df: DataFrame, col: str, value) -> bool:
+    return not isinstance(value, (Column, type(None))) and not (
+        isinstance(value, str) and isinstance(dtype(df, col), T.NumericType)
+    )
 
 
 def cmp(col: str, op: str, value) -> Condition:
@@ -143,19 +147,23 @@ def cmp(col: str, op: str, value) -> Condition:
 
     def build(df: DataFrame) -> Column:
         test = _COMPARE[op](quoted(col), _operand(df, col, value))
+        inputs = [quoted(col)] if _literal(df, col, value) else [test]
         if op == "!=":
-            return _sure(test, True)
-        return _sure(_not_nan(df, col, test))
+            return inputs[0].isNull() | test
+        if op in (">", ">=") and isinstance(dtype(df, col), FLOATS):
+            # Spark orders NaN above every number; here it counts as missing
+            test = test & ~F.isnan(quoted(col))
+        return _known(test, *inputs)
 
     return Condition(f"{col} {op} {value}", build)
 
 
 def is_true(col: str) -> Condition:
-    return Condition(f"{col} is true", lambda df: _sure(quoted(col) == F.lit(True)))
+    return Condition(f"{col} is true", lambda df: _known(quoted(col) == F.lit(True), quoted(col)))
 
 
 def is_false(col: str) -> Condition:
-    return Condition(f"{col} is false", lambda df: _sure(quoted(col) == F.lit(False)))
+    return Condition(f"{col} is false", lambda df: _known(quoted(col) == F.lit(False), quoted(col)))
 
 
 def between(col: str, lo=None, hi=None) -> Condition:
@@ -169,7 +177,7 @@ def between(col: str, lo=None, hi=None) -> Condition:
 
 
 def formula(sql: str) -> Condition:
-    return Condition(sql, lambda df: _sure(F.expr(sql)))
+    return Condition(sql, lambda df: _known(F.expr(sql)))
 
 
 _TEXT = ["isin", "not_in", "starts_with", "ends_with", "contains", "is_missing", "is_present"]

@@ -7,14 +7,20 @@ import re
 from pyspark.sql import Column, functions as F
 
 
+def _big_first(c: Column) -> Column:
+    """The first letter as a capital; a letter that becomes two, such as sharp s, gives "Ss"."""
+    big = F.upper(F.substr(c, F.lit(1), F.lit(1)))
+    return F.concat(F.substr(big, F.lit(1), F.lit(1)), F.lower(F.substr(big, F.lit(2))))
+
+
 def title(c: Column) -> Column:
     """Every run of letters starts with a capital, whatever stands before it."""
     runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.substr(w, F.lit(1), F.lit(1))), F.substr(w, F.lit(2)))), "")
+    return F.array_join(F.transform(runs, lambda w: F.concat(_big_first(w), F.substr(w, F.lit(2)))), "")
 
 
 def capitalize(c: Column) -> Column:
-    return F.concat(F.upper(F.substr(c, F.lit(1), F.lit(1))), F.lower(F.substr(c, F.lit(2))))
+    return F.concat(_big_first(c), F.lower(F.substr(c, F.lit(2))))
 
 
 def strip(c: Column) -> Column:

@@ -97,8 +97,7 @@ def with_udf(df: DataFrame, name: str, fn: Callable, columns, returns: str | T.D
     def apply(*series: pd.Series) -> pd.Series:
         return pd.Series([fn(*values) for values in zip(*series)], index=series[0].index, dtype=object)
 
-    apply.__annotations__ = {"return": pd.Series}
-    udf = F.pandas_udf(apply, returns, F.PandasUDFType.SCALAR)
+    udf = F.pandas_udf(apply, returns)
     return put(df, name, udf(*[quoted(c) for c in as_list(columns)]))
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Calendar arithmetic is defined on UTC wall-clock time; zone-less parquet timestamps are read as
 # TIMESTAMP directly so that date filters still reach the scan.
@@ -31,6 +33,7 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", memory: str =
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in PINNED.items():
@@ -38,3 +41,20 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", memory: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return pin(spark)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The table written to the reliable checkpoint folder, so that later passes see the same rows.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a local session may
+    fall back to a folder of its own.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+            folder = tempfile.mkdtemp(prefix="millrace-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()

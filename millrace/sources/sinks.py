@@ -15,10 +15,6 @@ def write_csv(df: DataFrame, path: str, mode: str = "error", sep: str = ",") ->
     df.write.option("header", True).option("sep", sep).mode(mode).csv(path)
 
 
-def write_parquet(df: DataFrame, path: str, mode: str = "error") -> None:
-    df.write.mode(mode).parquet(path)
-
-
 def checked_name(name: str, what: str) -> str:
     if not name or not _NAME.fullmatch(name):
         raise ValueError(f"a {what} name may only hold letters, digits and underscores: {name!r}")
