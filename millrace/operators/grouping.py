@@ -7,10 +7,10 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.contract import all_true, clean, missing, need_batch, quoted, spare_name
+from millrace.contract import all_true, clean, missing, need_batch, quoted, same, spare_name
 from millrace.functions.aggregates import FUNCTIONS, PLAIN, plain
 from millrace.operators.ordered import number_rows
-from millrace.operators.quantiles import quantiles
+from millrace.operators.quantiles import few_values, percentile, quantiles
 from millrace.selectors import resolve
 
 Output = tuple[str, str | None, str]
@@ -43,21 +43,22 @@ def outputs(df: DataFrame, spec) -> list[Output]:
     return found
 
 
-def _attach(result: DataFrame, part: DataFrame, keys: Sequence[str], names: Sequence[str]) -> DataFrame:
+def attach(result: DataFrame, part: DataFrame, keys: Sequence[str], names: Sequence[str], null_safe: bool) -> DataFrame:
+    """Add columns of a table with one row per group. Plain equality keeps the groups where they are."""
     if not keys:
         return result.select("*", *[part.select(quoted(n)).scalar().alias(n) for n in names])
     renamed = part.select(*[quoted(k).alias(f"__p{i}") for i, k in enumerate(keys)], *[quoted(n) for n in names])
-    on = all_true([quoted(k).eqNullSafe(F.col(f"__p{i}")) for i, k in enumerate(keys)])
+    on = all_true([same(quoted(k), F.col(f"__p{i}"), null_safe) for i, k in enumerate(keys)])
     return result.join(renamed, on, "left").drop(*[f"__p{i}" for i in range(len(keys))])
 
 
-def _mean_deviation(df: DataFrame, keys: Sequence[str], columns: dict[str, str]) -> DataFrame:
+def _mean_deviation(df: DataFrame, keys: Sequence[str], columns: dict[str, str], null_safe: bool) -> DataFrame:
     """Mean absolute deviation around the group mean: the means are joined back to the rows."""
     means = df.groupBy(*[quoted(k) for k in keys]).agg(
         *[F.avg(clean(df, c)).alias(f"__m{i}") for i, c in enumerate(columns.values())]
     )
     names = [f"__m{i}" for i in range(len(columns))]
-    rows = _attach(df, means, keys, names)
+    rows = attach(df, means, keys, names, null_safe)
     return rows.groupBy(*[quoted(k) for k in keys]).agg(
         *[F.avg(F.abs(clean(df, c) - F.col(m))).alias(out) for m, (out, c) in zip(names, columns.items())]
     )
@@ -85,13 +86,17 @@ def group_agg(
     ``label`` column they return. ``accuracy`` switches median and nunique to sketches.
     ``as_columns`` joins the results back to the rows of the table.
     """
-    need_batch(df, "group_agg") if as_columns else None
+    if as_columns:
+        need_batch(df, "joining aggregates back")
     keys = resolve(df, keys)
     wanted = outputs(df, spec)
     rows = df if keep_null_keys else drop_missing_keys(df, keys)
     groups = [quoted(k) for k in keys]
     simple = {o: plain(df, c, fn, order_by, label, accuracy) for o, c, fn in wanted if fn in PLAIN}
-    medians = {o: (c, [0.5]) for o, c, fn in wanted if fn == "median"}
+    medians = {o: c for o, c, fn in wanted if fn == "median"}
+    light = set(medians.values()) if accuracy is not None else few_values(rows, list(medians.values()))
+    simple.update({o: F.get(percentile(df, c, [0.5], accuracy), F.lit(0)) for o, c in medians.items() if c in light})
+    medians = {o: (c, [0.5]) for o, c in medians.items() if c not in light}
     deviations = {o: c for o, c, fn in wanted if fn == "mad"}
     numbers = [o for o, _, fn in wanted if fn == "ngroup"]
 
@@ -102,11 +107,11 @@ def group_agg(
     else:
         result = rows.sparkSession.range(1).select()
     if medians:
-        part = quantiles(rows, keys, medians, accuracy)
+        part = quantiles(rows, keys, medians, null_safe=keep_null_keys)
         part = part.select(*groups, *[quoted(o).getItem(0).alias(o) for o in medians])
-        result = _attach(result, part, keys, list(medians))
+        result = attach(result, part, keys, list(medians), keep_null_keys)
     if deviations:
-        result = _attach(result, _mean_deviation(rows, keys, deviations), keys, list(deviations))
+        result = attach(result, _mean_deviation(rows, keys, deviations, keep_null_keys), keys, list(deviations), keep_null_keys)
     if numbers:
         # number the reduced table of groups, not the rows
         numbered = number_rows(result, keys, numbers[0])
@@ -117,7 +122,7 @@ def group_agg(
     clash = {o: spare_name(o + "_y", df) for o, _, _ in wanted if o in df.columns}
     result = result.withColumnsRenamed(clash)
     names = [c for c in result.columns if c not in keys]
-    joined = _attach(rows, result, keys, names)
+    joined = attach(rows, result, keys, names, keep_null_keys)
     return joined.select(*[quoted(c) for c in df.columns], *[quoted(n) for n in names])
 
 

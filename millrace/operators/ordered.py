@@ -21,6 +21,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame, Row, Window, functions as F, types as T
 
 from millrace.contract import all_true, dtype, need_columns, need_order, quoted
+from millrace.session import settled
 
 ROWS_PER_SLICE_KEY = "millrace.rowsPerSlice"
 ROWS_PER_SLICE = 100_000
@@ -29,6 +30,7 @@ SAMPLED_PER_SLICE = 20
 SEED = 123
 
 SLICE = "__slice"
+TIE = "__tie"
 
 
 @dataclass(frozen=True)
@@ -42,7 +44,7 @@ class Sliced:
     owners: DataFrame | None = None  # groups that own a cut point; None means a single slice
 
     def rows(self) -> DataFrame:
-        return self.df.drop(SLICE)
+        return self.df.drop(SLICE, TIE)
 
 
 @dataclass(frozen=True)
@@ -114,16 +116,17 @@ def slice_rows(df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows:
     # about 20 sampled keys per slice, whatever the size of the table
     sampled = df.select(key.alias("k")).sample(False, fraction, SEED).agg(F.array_sort(F.collect_list("k")).alias("k"))
     cuts = sampled.select(
-        F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(wanted - 1)),
-                lambda i: F.get(F.col("k"), F.floor(i * F.size("k") / wanted).cast("int")),
-            )
+        F.transform(
+            F.sequence(F.lit(1), F.lit(wanted - 1)),
+            lambda i: F.get(F.col("k"), F.floor(i * F.size("k") / wanted).cast("int")),
         ).alias("cuts")
-        if wanted > 1
-        else F.array().alias("cuts")
     )
-    found = [c for c in cuts.first()["cuts"] if c is not None]
+    drawn = [c for c in cuts.first()["cuts"] if c is not None]
+    found = list(dict.fromkeys(drawn))
+    if len(found) < len(drawn) and TIE not in df.columns:
+        # one position holds more rows than a slice: break its ties by a random number, written
+        # once so that every pass and every retried task sees the same one
+        return slice_rows(settled(df.withColumn(TIE, F.rand(SEED))), by, [*order_by, TIE], total)
     if not found:
         return Sliced(df.withColumn(SLICE, F.lit(0)), list(by), order_by, columns)
 

@@ -11,13 +11,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.contract import all_true, clean, need_batch, quoted
+from millrace.contract import all_true, clean, need_batch, quoted, same
 from millrace.operators.ordered import Measure, running, slice_rows
 
 DISTINCT_KEY = "millrace.percentileDistinctLimit"
 DISTINCT_LIMIT = 50_000
 
 
+def few_values(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Columns with so few distinct values that one task may hold a count for each of them."""
+    columns = list(dict.fromkeys(columns))
+    if not columns:
+        return set()
+    seen = df.agg(*[F.approx_count_distinct(clean(df, c).cast("double")).alias(f"d{i}") for i, c in enumerate(columns)])
+    counts = seen.first()
+    return {c for i, c in enumerate(columns) if (counts[i] or 0) <= _limit(df)}
+
+
+def percentile(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int | None = None) -> Column:
+    """An array of quantiles as one aggregate expression."""
+    value = clean(df, column).cast("double")
+    if accuracy is not None:
+        return F.percentile_approx(value, [float(p) for p in probabilities], accuracy).cast("array<double>")
+    return F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
+
+
 def _limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(DISTINCT_KEY, str(DISTINCT_LIMIT)))
 
@@ -27,47 +45,37 @@ def quantiles(
     keys: Sequence[str],
     wanted: dict[str, tuple[str, Sequence[float]]],
     accuracy: int | None = None,
+    null_safe: bool = True,
 ) -> DataFrame:
-    """``wanted`` maps an output name to (column, probabilities); outputs are arrays of doubles."""
+    """``wanted`` maps an output name to (column, probabilities); outputs are arrays of doubles.
+
+    ``null_safe=False`` promises keys without NULL, which spares a shuffle.
+    """
     need_batch(df, "quantiles")
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    values = {c: clean(df, c).cast("double") for c in columns}
     groups = [quoted(k) for k in keys]
-    if accuracy is not None:
-        return df.groupBy(*groups).agg(
-            *[
-                F.percentile_approx(values[c], [float(p) for p in ps], accuracy).cast("array<double>").alias(out)
-                for out, (c, ps) in wanted.items()
-            ]
-        )
-    seen = df.agg(*[F.approx_count_distinct(values[c]).alias(f"d{i}") for i, c in enumerate(columns)]).first()
-    small = {c for i, c in enumerate(columns) if (seen[i] or 0) <= _limit(df)}
+    small = set(columns) if accuracy is not None else few_values(df, columns)
     parts = []
     light = {o: w for o, w in wanted.items() if w[0] in small}
     heavy = {o: w for o, w in wanted.items() if w[0] not in small}
     if light or not heavy:
         parts.append(
-            df.groupBy(*groups).agg(
-                *[
-                    F.percentile(values[c], F.array(*[F.lit(float(p)) for p in ps])).alias(out)
-                    for out, (c, ps) in light.items()
-                ]
-            )
+            df.groupBy(*groups).agg(*[percentile(df, c, ps, accuracy).alias(out) for out, (c, ps) in light.items()])
         )
     for c in dict.fromkeys(c for c, _ in heavy.values()):
-        parts.append(_ranked(df, keys, values[c], {o: ps for o, (n, ps) in heavy.items() if n == c}))
+        parts.append(_ranked(df, keys, clean(df, c).cast("double"), {o: ps for o, (n, ps) in heavy.items() if n == c}))
     result = parts[0]
     for i, part in enumerate(parts[1:]):
-        result = _side_by_side(result, part, keys, f"__k{i}_")
+        result = _side_by_side(result, part, keys, f"__k{i}_", null_safe)
     return result.select(*groups, *[quoted(o) for o in wanted])
 
 
-def _side_by_side(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+def _side_by_side(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str, null_safe: bool) -> DataFrame:
     """Join two results with one row per group; without keys each has a single row."""
     if not keys:
         return a.select("*", *[b.select(quoted(c)).scalar().alias(c) for c in b.columns])
     renamed = b.withColumnsRenamed({k: prefix + k for k in keys})
-    on = all_true([quoted(k).eqNullSafe(quoted(prefix + k)) for k in keys])
+    on = all_true([same(quoted(k), quoted(prefix + k), null_safe) for k in keys])
     # a side may lack groups without any value, so keep both
     joined = a.join(renamed, on, "full")
     kept = [F.coalesce(quoted(k), quoted(prefix + k)).alias(k) for k in keys]

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.contract import as_list, missing, need_batch, need_columns, quoted
+from millrace.contract import as_list, clean, missing, need_batch, need_columns, quoted
 from millrace.functions.predicates import Condition, all_of
 from millrace.operators.ordered import number_rows
 
@@ -52,8 +52,7 @@ def sort_rows(df: DataFrame, by: Sequence, as_text: bool = False) -> DataFrame:
     for item in as_list(by) if not isinstance(by, tuple) else [by]:
         name, direction = (item, "asc") if isinstance(item, str) else item
         need_columns(df, [name])
-        c = quoted(name).cast("string") if as_text else quoted(name)
-        c = F.when(~missing(df, name), c)
+        c = clean(df, name).cast("string") if as_text else clean(df, name)
         order.append(c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last())
     return df.orderBy(*order)
 

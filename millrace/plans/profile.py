@@ -8,11 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from millrace.contract import DATETIMES, as_list, clean, dtype, missing, need_batch, quoted
+from millrace.functions.aggregates import plain
 from millrace.functions.calendar import FIXED
 from millrace.operators.binning import bin_index, equal_edges, interval_texts
-from millrace.operators.grouping import drop_missing_keys, group_agg
+from millrace.operators.grouping import attach, drop_missing_keys, group_agg
 from millrace.operators.ordered import Measure, running, slice_rows
-from millrace.operators.quantiles import quantiles
+from millrace.operators.quantiles import few_values, percentile, quantiles
 from millrace.operators.resample import resample
 from millrace.operators.rows import value_table
 from millrace.selectors import of_type, resolve
@@ -140,21 +141,18 @@ def numeric_stats(df: DataFrame, col: str, by=None, accuracy: int | None = None)
     """min, quartiles, max, mean and standard deviation."""
     keys = resolve(df, by) if by is not None else []
     rows = drop_missing_keys(df, keys)
-    base = group_agg(
-        rows, keys,
-        {"count": (col, "count"), "min": (col, "min"), "max": (col, "max"), "mean": (col, "mean"), "std": (col, "std")},
-    )
-    parts = quantiles(rows, keys, {"__q": (col, [0.25, 0.5, 0.75])}, accuracy)
-    if keys:
-        renamed = parts.toDF(*[f"__k{i}" for i in range(len(keys))], "__q")
-        on = quoted(keys[0]).eqNullSafe(F.col("__k0"))
-        for i, k in enumerate(keys[1:], 1):
-            on = on & quoted(k).eqNullSafe(F.col(f"__k{i}"))
-        joined = base.join(renamed, on, "left")
+    spec = {"count": (col, "count"), "min": (col, "min"), "max": (col, "max"), "mean": (col, "mean"), "std": (col, "std")}
+    cuts = [0.25, 0.5, 0.75]
+    if accuracy is not None or col in few_values(rows, [col]):
+        one = rows.groupBy(*[quoted(k) for k in keys]).agg(
+            *[plain(rows, c, fn).alias(out) for out, (c, fn) in spec.items()], percentile(rows, col, cuts, accuracy).alias("__q")
+        )
     else:
-        joined = base.withColumn("__q", parts.select("__q").scalar())
+        base = group_agg(rows, keys, spec)
+        parts = quantiles(rows, keys, {"__q": (col, cuts)}, null_safe=False)
+        one = attach(base, parts, keys, ["__q"], null_safe=False)
     q = [F.get(F.col("__q"), F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
-    return joined.select(*[quoted(k) for k in keys], "count", "min", *q, "max", "mean", "std")
+    return one.select(*[quoted(k) for k in keys], "count", "min", *q, "max", "mean", "std")
 
 
 def sign_counts(df: DataFrame, col: str) -> DataFrame:
