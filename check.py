@@ -1,6 +1,6 @@
 """Compare registered queries with their SQL on the given tables.
 
-    python check.py [folder] [key prefix ...]
+    python check.py [folder] [setting=value ...] [key prefix ...]
 """
 
 from __future__ import annotations
@@ -72,6 +72,8 @@ def main() -> int:
     args = sys.argv[1:]
     folder = args.pop(0) if args and "/" in args[0] else "/root/testdata/sf0.01"
     spark = local_session()
+    while args and "=" in args[0]:
+        spark.conf.set(*args.pop(0).split("=", 1))
     con = connect(folder)
     bad = 0
     for key, run in QUERIES.items():

@@ -68,6 +68,8 @@ def isin(col: str, values: Sequence) -> Condition:
 
     def build(df: DataFrame) -> Column:
         hit = _known(quoted(col).isin(wanted), quoted(col)) if wanted else F.lit(False)
+        if isinstance(dtype(df, col), FLOATS):
+            hit = hit & ~F.isnan(quoted(col))
         return hit | missing(df, col) if with_missing else hit
 
     return Condition(f"{col} is one of {values}", build)
@@ -148,12 +150,11 @@ def cmp(col: str, op: str, value) -> Condition:
     def build(df: DataFrame) -> Column:
         test = _COMPARE[op](quoted(col), _operand(df, col, value))
         inputs = [quoted(col)] if _literal(df, col, value) else [test]
+        # NaN is named in the test, also because file and cache statistics know nothing of it
+        real = isinstance(dtype(df, col), FLOATS)
         if op == "!=":
-            return inputs[0].isNull() | test
-        if op in (">", ">=") and isinstance(dtype(df, col), FLOATS):
-            # Spark orders NaN above every number; here it counts as missing
-            test = test & ~F.isnan(quoted(col))
-        return _known(test, *inputs)
+            return inputs[0].isNull() | (F.isnan(quoted(col)) | test if real else test)
+        return _known(test & ~F.isnan(quoted(col)) if real else test, *inputs)
 
     return Condition(f"{col} {op} {value}", build)
 

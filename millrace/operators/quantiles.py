@@ -104,7 +104,9 @@ def _ranked(df: DataFrame, keys: Sequence[str], value: Column, wanted: dict[str,
                 picks.append(F.max(F.when(holds, F.col("__v"))).alias(f"__{side}{j}_{i}"))
             lo, hi = F.col(f"__lo{j}_{i}"), F.col(f"__hi{j}_{i}")
             at = F.lit(float(p)) * (F.col("__total") - 1)
-            items.append(lo + (hi - lo) * (at - F.floor(at)))
+            share = at - F.floor(at)
+            # measured from the nearer neighbour, which rounds better
+            items.append(F.when(share < 0.5, lo + (hi - lo) * share).otherwise(hi - (hi - lo) * (1 - share)))
         outs.append(F.array(*items).alias(out))
     picked = sliced.df.groupBy(*groups).agg(F.max("__all").alias("__total"), *picks)
     return picked.select(*groups, *outs)

@@ -495,6 +495,13 @@ def number_columns(df: DataFrame, columns=None, max_columns: int = 100) -> list[
 DIRECT_PAIRS = 60
 
 
+def _pearson(a: Column, b: Column) -> Column:
+    """Correlation over the rows where both are known; missing if one of them never varies."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlations(df: DataFrame, columns=None, max_columns: int = 100) -> DataFrame:
     """Pearson correlation of every pair of number columns, over the rows where both are known."""
     need_batch(df, "correlations")
@@ -502,7 +509,7 @@ def correlations(df: DataFrame, columns=None, max_columns: int = 100) -> DataFra
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     value = {n: clean(df, n).cast("double") for n in names}
     if len(pairs) <= DIRECT_PAIRS:
-        one = df.agg(*[F.corr(value[a], value[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+        one = df.agg(*[_pearson(value[a], value[b]).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
         entry = F.explode(
             F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(f"c{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
         )
@@ -512,7 +519,7 @@ def correlations(df: DataFrame, columns=None, max_columns: int = 100) -> DataFra
         entry = F.explode(
             F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), value[a].alias("a"), value[b].alias("b")) for a, b in pairs])
         )
-        half = df.select(entry.alias("e")).groupBy("e.x", "e.y").agg(F.corr("e.a", "e.b").alias("r"))
+        half = df.select(entry.alias("e")).groupBy("e.x", "e.y").agg(_pearson(F.col("e.a"), F.col("e.b")).alias("r"))
     r = F.when(~F.isnan("r"), F.col("r"))
     both = half.select(
         F.explode(

@@ -101,7 +101,7 @@ query("a26_pivot_table", lambda t: rounded(m.pivot_table(t("orders"), "o_orderst
 query("a26_pivot_table_median", lambda t: rounded(m.pivot_table(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "median"), 4),
       f"SELECT o_orderstatus, {_cells('round(quantile_cont(o_totalprice, 0.5) @, 4)')} FROM orders GROUP BY o_orderstatus")
 query("a26_pivot_table_two_columns", lambda t: m.pivot_table(t("lineitem"), "l_linenumber", ["l_returnflag", "l_linestatus"], "l_quantity", "count"),
-      "SELECT l_linenumber, " + ", ".join(f"""count(l_quantity) FILTER (l_returnflag = '{r}' AND l_linestatus = '{s}') AS "{r}_{s}" """ for r in "ANR" for s in "FO") + " FROM lineitem GROUP BY l_linenumber")
+      "SELECT l_linenumber, " + ", ".join(f"""nullif(count(l_quantity) FILTER (l_returnflag = '{r}' AND l_linestatus = '{s}'), 0) AS "{r}_{s}" """ for r in "ANR" for s in "FO") + " FROM lineitem GROUP BY l_linenumber")
 query("a27_pivot_margins", lambda t: rounded(m.pivot_table(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "mean", margins=True)),
       f"""SELECT o_orderstatus, {_cells('round(avg(o_totalprice) @, 6)')}, round(avg(o_totalprice), 6) AS "All" FROM orders GROUP BY o_orderstatus
           UNION ALL SELECT 'All', {_cells('round(avg(o_totalprice) @, 6)')}, round(avg(o_totalprice), 6) FROM orders""")
@@ -119,7 +119,7 @@ query("a29_pivot_drop_empty_columns", lambda t: m.pivot_table(
 query("a30_pivot_precision", lambda t: m.pivot_table(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "std", precision=1),
       f"SELECT o_orderstatus, {_cells('round(stddev_samp(o_totalprice) @, 1)')} FROM orders GROUP BY o_orderstatus")
 query("a31_pivot_observed", lambda t: m.pivot_table(labelled(t), "lang", "quality", "doc_id", "count"),
-      f"""SELECT lang, count(doc_id) FILTER (quality = 0) AS "0", count(doc_id) FILTER (quality = 1) AS "1" FROM {_LABELLED} WHERE quality IS NOT NULL GROUP BY lang""")
+      f"""SELECT lang, nullif(count(doc_id) FILTER (quality = 0), 0) AS "0", nullif(count(doc_id) FILTER (quality = 1), 0) AS "1" FROM {_LABELLED} WHERE quality IS NOT NULL GROUP BY lang""")
 
 # --- running calculations ------------------------------------------------------------------------
 

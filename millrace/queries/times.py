@@ -39,8 +39,13 @@ query("t02_business_day", lambda t: m.resample(orders(t), "o_orderdate", 1, "B",
           SELECT g.k AS o_orderdate, coalesce(n, 0) AS "count" FROM g LEFT JOIN a ON g.k = a.k WHERE isodow(g.k) < 6""")
 
 
-def _calendar(label: str) -> str:
-    return f"SELECT {label} AS o_orderdate, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1"
+def _calendar(label: str, days: int = 0) -> str:
+    """Totals per label; with a number of days between labels, empty periods are listed too."""
+    totals = f"SELECT {label} AS o_orderdate, round(sum(o_totalprice), 2) AS o_totalprice FROM orders GROUP BY 1"
+    if not days:
+        return totals
+    return f"""WITH a AS ({totals}), g AS (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL {days} DAY)) AS k FROM a)
+               SELECT g.k AS o_orderdate, coalesce(o_totalprice, 0) AS o_totalprice FROM g LEFT JOIN a ON g.k = a.o_orderdate"""
 
 
 _FIRST_MONTH = "(SELECT date_trunc('month', min(o_orderdate)) FROM orders)"
@@ -60,7 +65,7 @@ _LABELS = {
         THEN last_day(o_orderdate - INTERVAL 1 MONTH) ELSE date_trunc('month', o_orderdate) + INTERVAL 14 DAY END AS TIMESTAMP)"""),
 }
 for _key, (_unit, _every, _label) in _LABELS.items():
-    query(_key, lambda t, u=_unit, n=_every: rounded(m.resample(orders(t), "o_orderdate", n, u, "sum"), 2), _calendar(_label))
+    query(_key, lambda t, u=_unit, n=_every: rounded(m.resample(orders(t), "o_orderdate", n, u, "sum"), 2), _calendar(_label, {"W": 7 * _every}.get(_unit, 0)))
 
 # --- fills ---------------------------------------------------------------------------------------
 
