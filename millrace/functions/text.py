@@ -7,6 +7,10 @@ import re
 from pyspark.sql import Column, functions as F
 
 
+# a code point that is never a character, and a space
+_MARK = "\ufdd0 "
+
+
 def _big_first(c: Column) -> Column:
     """The first letter as a capital; a letter that becomes two, such as sharp s, gives "Ss"."""
     big = F.upper(F.substr(c, F.lit(1), F.lit(1)))
@@ -14,9 +18,12 @@ def _big_first(c: Column) -> Column:
 
 
 def title(c: Column) -> Column:
-    """Every run of letters starts with a capital, whatever stands before it."""
-    runs = F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}+|\P{L}+)"), 1)
-    return F.array_join(F.transform(runs, lambda w: F.concat(_big_first(w), F.substr(w, F.lit(2)))), "")
+    """Every run of letters starts with a capital, whatever stands before it.
+
+    ``initcap`` starts words at spaces only, so one is put before every other start and taken out again.
+    """
+    spaced = F.regexp_replace(F.lower(c), r"(?<=[^\p{L} ])(?=\p{L})", _MARK)
+    return F.replace(F.initcap(spaced), F.lit(_MARK), F.lit(""))
 
 
 def capitalize(c: Column) -> Column:

@@ -76,7 +76,9 @@ def _sortable(df: DataFrame, name: str) -> Column:
 def _parts(df: DataFrame, names: Sequence[str], stem: str) -> list[Column]:
     parts = []
     for i, name in enumerate(names):
-        parts.append(F.when(quoted(name).isNull(), 1).otherwise(0).alias(f"{stem}{i}n"))
+        # no ELSE branch: nullable like the constants it is compared with, which spares a cast per row
+        flag = F.when(quoted(name).isNull(), 1).when(quoted(name).isNotNull(), 0)
+        parts.append(flag.alias(f"{stem}{i}n"))
         parts.append(_sortable(df, name).alias(f"{stem}{i}v"))
     return parts
 
@@ -100,8 +102,18 @@ def _constant(value, kind: T.DataType) -> Column:
     return wrapped.getField("c")
 
 
-def slice_rows(df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows: int | None = None) -> Sliced:
-    """Cut the table along (by, order_by); one slice if it is known to be small."""
+def slice_rows(
+    df: DataFrame,
+    by: Sequence[str],
+    order_by: Sequence[str],
+    rows: int | None = None,
+    drawn_from: DataFrame | None = None,
+) -> Sliced:
+    """Cut the table along (by, order_by); one slice if it is known to be small.
+
+    ``rows`` is the row count, if known. A table without ties may name a cheaper table with the same
+    columns to draw the cut points from, such as the rows it was aggregated from.
+    """
     order_by = need_order(df, order_by, "a running calculation")
     by = need_columns(df, by)
     columns = df.columns
@@ -114,7 +126,7 @@ def slice_rows(df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows:
     key = F.struct(*_parts(df, by, "b"), *_parts(df, order_by, "o"))
     fraction = min(1.0, 1.2 * SAMPLED_PER_SLICE * wanted / total)
     # about 20 sampled keys per slice, whatever the size of the table
-    sampled = df.select(key.alias("k")).sample(False, fraction, SEED).agg(F.array_sort(F.collect_list("k")).alias("k"))
+    sampled = (df if drawn_from is None else drawn_from).select(key.alias("k")).sample(False, fraction, SEED).agg(F.array_sort(F.collect_list("k")).alias("k"))
     cuts = sampled.select(
         F.transform(
             F.sequence(F.lit(1), F.lit(wanted - 1)),
@@ -123,7 +135,7 @@ def slice_rows(df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows:
     )
     drawn = [c for c in cuts.first()["cuts"] if c is not None]
     found = list(dict.fromkeys(drawn))
-    if len(found) < len(drawn) and TIE not in df.columns:
+    if len(found) < len(drawn) and drawn_from is None and TIE not in df.columns:
         # one position holds more rows than a slice: break its ties by a random number, written
         # once so that every pass and every retried task sees the same one
         return slice_rows(settled(df.withColumn(TIE, F.rand(SEED))), by, [*order_by, TIE], total)
@@ -136,10 +148,13 @@ def slice_rows(df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows:
     blocks = [found[i : i + block] for i in range(0, len(found), block)]
     heads = _constant([b[0] for b in blocks], T.ArrayType(key_type))
     borders = _constant(blocks, T.ArrayType(T.ArrayType(key_type)))
-    # two-level search: first the block, then the place inside it
-    place = F.size(F.filter(heads, lambda h: h <= key))
-    inside = F.size(F.filter(F.get(borders, place - 1), lambda h: h <= key))
-    number = F.when(place == 0, F.lit(0)).otherwise((place - 1) * block + inside)
+    # two-level search, first the block, then the place inside it; the key and the block are columns
+    # of their own so that they are computed once per row
+    keyed = df.withColumn("__key", key)
+    keyed = keyed.withColumn("__block", F.size(F.filter(heads, lambda h: h <= F.col("__key"))))
+    inside = F.size(F.filter(F.get(borders, F.col("__block") - 1), lambda h: h <= F.col("__key")))
+    number = F.when(F.col("__block") == 0, F.lit(0)).otherwise((F.col("__block") - 1) * block + inside)
+    cut = keyed.withColumn(SLICE, number.cast("int")).drop("__key", "__block")
 
     owners = None
     if by:
@@ -148,7 +163,7 @@ def slice_rows(df: DataFrame, by: Sequence[str], order_by: Sequence[str], rows:
         owners = spark.createDataFrame(list(values), T.StructType([T.StructField(f"__{f.name}", f.dataType) for f in fields]))
     else:
         owners = spark.createDataFrame([(1,)], "one int")
-    return Sliced(df.withColumn(SLICE, number.cast("int")), list(by), order_by, columns, owners)
+    return Sliced(cut, list(by), order_by, columns, owners)
 
 
 def _local(m: Measure, window, whole) -> Column:

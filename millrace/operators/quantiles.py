@@ -18,14 +18,23 @@ DISTINCT_KEY = "millrace.percentileDistinctLimit"
 DISTINCT_LIMIT = 50_000
 
 
-def few_values(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    """Columns with so few distinct values that one task may hold a count for each of them."""
+def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
+    """About how many distinct values, and how many values, each column has; one pass, no shuffle."""
     columns = list(dict.fromkeys(columns))
     if not columns:
-        return set()
-    seen = df.agg(*[F.approx_count_distinct(clean(df, c).cast("double")).alias(f"d{i}") for i, c in enumerate(columns)])
-    counts = seen.first()
-    return {c for i, c in enumerate(columns) if (counts[i] or 0) <= _limit(df)}
+        return {}
+    values = [clean(df, c).cast("double") for c in columns]
+    found = df.agg(
+        *[F.approx_count_distinct(v).alias(f"d{i}") for i, v in enumerate(values)],
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+    ).first()
+    return {c: (found[f"d{i}"], found[f"n{i}"]) for i, c in enumerate(columns)}
+
+
+def few_values(df: DataFrame, columns: Sequence[str]) -> set[str]:
+    """Columns with so few distinct values that one task may hold a count for each of them."""
+    limit = distinct_limit(df)
+    return {c for c, (distinct, _) in column_sizes(df, columns).items() if distinct <= limit}
 
 
 def percentile(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int | None = None) -> Column:
@@ -36,7 +45,7 @@ def percentile(df: DataFrame, column: str, probabilities: Sequence[float], accur
     return F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
 
 
-def _limit(df: DataFrame) -> int:
+def distinct_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(DISTINCT_KEY, str(DISTINCT_LIMIT)))
 
 
@@ -46,15 +55,19 @@ def quantiles(
     wanted: dict[str, tuple[str, Sequence[float]]],
     accuracy: int | None = None,
     null_safe: bool = True,
+    sizes: dict[str, tuple[int, int]] | None = None,
 ) -> DataFrame:
     """``wanted`` maps an output name to (column, probabilities); outputs are arrays of doubles.
 
-    ``null_safe=False`` promises keys without NULL, which spares a shuffle.
+    ``null_safe=False`` promises keys without NULL, which spares a shuffle. ``sizes`` are those of
+    ``column_sizes``, if known.
     """
     need_batch(df, "quantiles")
     columns = list(dict.fromkeys(c for c, _ in wanted.values()))
     groups = [quoted(k) for k in keys]
-    small = set(columns) if accuracy is not None else few_values(df, columns)
+    if accuracy is None and sizes is None:
+        sizes = column_sizes(df, columns)
+    small = {c for c in columns if accuracy is not None or sizes[c][0] <= distinct_limit(df)}
     parts = []
     light = {o: w for o, w in wanted.items() if w[0] in small}
     heavy = {o: w for o, w in wanted.items() if w[0] not in small}
@@ -63,7 +76,7 @@ def quantiles(
             df.groupBy(*groups).agg(*[percentile(df, c, ps, accuracy).alias(out) for out, (c, ps) in light.items()])
         )
     for c in dict.fromkeys(c for c, _ in heavy.values()):
-        parts.append(_ranked(df, keys, clean(df, c).cast("double"), {o: ps for o, (n, ps) in heavy.items() if n == c}))
+        parts.append(_ranked(df, keys, c, sizes[c][1], {o: ps for o, (n, ps) in heavy.items() if n == c}))
     result = parts[0]
     for i, part in enumerate(parts[1:]):
         result = _side_by_side(result, part, keys, f"__k{i}_", null_safe)
@@ -82,16 +95,12 @@ def _side_by_side(a: DataFrame, b: DataFrame, keys: Sequence[str], prefix: str,
     return joined.select(*kept, *[quoted(c) for c in a.columns + b.columns if c not in keys])
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], value: Column, wanted: dict[str, Sequence[float]]) -> DataFrame:
+def _ranked(df: DataFrame, keys: Sequence[str], column: str, rows: int, wanted: dict[str, Sequence[float]]) -> DataFrame:
     groups = [quoted(k) for k in keys]
-    counts = (
-        df.select(*groups, value.alias("__v"))
-        .where(F.col("__v").isNotNull())
-        .groupBy(*groups, F.col("__v"))
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
+    values = df.select(*groups, clean(df, column).cast("double").alias("__v")).where(F.col("__v").isNotNull())
+    counts = values.groupBy(*groups, F.col("__v")).agg(F.count(F.lit(1)).alias("__n"))
     sliced = running(
-        slice_rows(counts, keys, ["__v"]),
+        slice_rows(counts, keys, ["__v"], rows, drawn_from=values),
         [Measure("__upto", "sum", F.col("__n")), Measure("__all", "total", F.col("__n"))],
     )
     picks, outs = [], []

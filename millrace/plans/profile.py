@@ -7,13 +7,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from millrace.contract import DATETIMES, as_list, clean, dtype, missing, need_batch, quoted
+from millrace.contract import DATETIMES, FLOATS, INTEGERS, as_list, clean, dtype, missing, need_batch, quoted
 from millrace.functions.aggregates import plain
 from millrace.functions.calendar import FIXED
 from millrace.operators.binning import bin_index, equal_edges, interval_texts
 from millrace.operators.grouping import attach, drop_missing_keys, group_agg
 from millrace.operators.ordered import Measure, running, slice_rows
-from millrace.operators.quantiles import few_values, percentile, quantiles
+from millrace.operators.quantiles import column_sizes, distinct_limit, percentile, quantiles
 from millrace.operators.resample import resample
 from millrace.operators.rows import value_table
 from millrace.selectors import of_type, resolve
@@ -39,14 +39,31 @@ def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * F.lit(100.0) / whole).otherwise(F.lit(0.0))
 
 
-def _fingerprint(df: DataFrame, name: str) -> Column:
-    """A short key that tells values apart; texts are hashed so whole ones need not be shuffled."""
+def _fingerprint(df: DataFrame, name: str) -> list[Column]:
+    """A key that tells values apart, as (whole number, real number, text) of which one is set.
+
+    Long texts and nested values are hashed so that whole ones need not be shuffled.
+    """
     kind, c = dtype(df, name), clean(df, name)
+    whole, real, text = F.lit(None).cast("long"), F.lit(None).cast("double"), F.lit(None).cast("string")
     if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.when(F.length(c) <= 32, F.concat(F.lit("="), c.cast("string"))).otherwise(F.sha2(c.cast("binary"), 256))
-    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
-        return F.sha2(F.to_json(F.struct(c)).cast("binary"), 256)
-    return c.cast("string")
+        short = F.concat(F.lit("="), c.cast("string"))
+        text = F.when(F.length(c) <= 32, short).otherwise(F.sha2(c.cast("binary"), 256))
+        if isinstance(kind, T.BinaryType):
+            text = F.sha2(c, 256)
+    elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        text = F.when(c.isNotNull(), F.sha2(F.to_json(F.struct(c)).cast("binary"), 256))
+    elif isinstance(kind, FLOATS):
+        real = c.cast("double")
+    elif isinstance(kind, (*INTEGERS, T.BooleanType)):
+        whole = c.cast("long")
+    elif isinstance(kind, T.DateType):
+        whole = F.unix_date(c).cast("long")
+    elif isinstance(kind, DATETIMES):
+        whole = F.unix_micros(c.cast("timestamp"))
+    else:
+        text = c.cast("string")
+    return [whole.alias("w"), real.alias("r"), text.alias("t")]
 
 
 def glimpse(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
@@ -59,13 +76,14 @@ def glimpse(df: DataFrame, columns=None, exact: bool = True) -> DataFrame:
     kinds = {n: dtype(df, n).simpleString() for n in names}
     if exact:
         entry = F.explode(
-            F.array(*[F.struct(F.lit(i).alias("i"), _fingerprint(df, n).alias("k")) for i, n in enumerate(names)])
+            F.array(*[F.struct(F.lit(i).alias("i"), *_fingerprint(df, n)) for i, n in enumerate(names)])
         )
-        counts = df.select(entry.alias("e")).groupBy("e.i", "e.k").agg(F.count(F.lit(1)).alias("n"))
+        counts = df.select(entry.alias("e")).groupBy("e.i", "e.w", "e.r", "e.t").agg(F.count(F.lit(1)).alias("n"))
+        known = F.coalesce(F.col("w").isNotNull() | F.col("r").isNotNull() | F.col("t").isNotNull(), F.lit(False))
         facts = counts.groupBy("i").agg(
             F.sum("n").alias("rows"),
-            F.count("k").alias("unique_count"),
-            F.coalesce(F.sum(F.when(F.col("k").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+            F.count_if(known).alias("unique_count"),
+            F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("missing_count"),
         )
     else:
         one = df.agg(
@@ -140,17 +158,20 @@ def value_counts(df: DataFrame, col: str, top: int | None = 10) -> DataFrame:
 def numeric_stats(df: DataFrame, col: str, by=None, accuracy: int | None = None) -> DataFrame:
     """min, quartiles, max, mean and standard deviation."""
     keys = resolve(df, by) if by is not None else []
-    rows = drop_missing_keys(df, keys)
+    return _stats(drop_missing_keys(df, keys), col, keys, accuracy, null_keys=False)
+
+
+def _stats(rows: DataFrame, col: str, keys: list[str], accuracy: int | None, null_keys: bool) -> DataFrame:
     spec = {"count": (col, "count"), "min": (col, "min"), "max": (col, "max"), "mean": (col, "mean"), "std": (col, "std")}
     cuts = [0.25, 0.5, 0.75]
-    if accuracy is not None or col in few_values(rows, [col]):
+    sizes = None if accuracy is not None else column_sizes(rows, [col])
+    if sizes is None or sizes[col][0] <= distinct_limit(rows):
         one = rows.groupBy(*[quoted(k) for k in keys]).agg(
             *[plain(rows, c, fn).alias(out) for out, (c, fn) in spec.items()], percentile(rows, col, cuts, accuracy).alias("__q")
         )
     else:
-        base = group_agg(rows, keys, spec)
-        parts = quantiles(rows, keys, {"__q": (col, cuts)}, null_safe=False)
-        one = attach(base, parts, keys, ["__q"], null_safe=False)
+        base = group_agg(rows, keys, spec, keep_null_keys=null_keys)
+        one = attach(base, quantiles(rows, keys, {"__q": (col, cuts)}, null_safe=null_keys, sizes=sizes), keys, ["__q"], null_keys)
     q = [F.get(F.col("__q"), F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))]
     return one.select(*[quoted(k) for k in keys], "count", "min", *q, "max", "mean", "std")
 
@@ -408,40 +429,29 @@ def box_stats(df: DataFrame, num: str, cat: str | None = None, total: bool = Tru
     need_batch(df, "box_stats")
     rows = df.where(~missing(df, num))
     kind = dtype(df, cat) if cat else T.StringType()
-    parts = []
+    whole = F.struct(F.lit(None).cast(kind).alias("category"), F.lit(True).alias("is_total"))
     if cat:
-        parts.append(_boxes(drop_missing_keys(rows, [cat]).select(quoted(cat).alias("category"), quoted(num).cast("double").alias("v")), True))
-    if total or not cat:
-        parts.append(_boxes(rows.select(quoted(num).cast("double").alias("v")), False, kind))
-    result = parts[0]
-    return result.unionByName(parts[1]) if len(parts) > 1 else result
-
-
-def _boxes(rows: DataFrame, grouped: bool, kind: T.DataType | None = None) -> DataFrame:
-    keys = ["category"] if grouped else []
-    stats = numeric_stats(rows, "v", keys or None)
-    iqr = F.col("q3") - F.col("q1")
-    fences = stats.select(*keys, (F.col("q1") - 1.5 * iqr).alias("__lo"), (F.col("q3") + 1.5 * iqr).alias("__hi"))
-    if grouped:
-        fenced = rows.join(fences.withColumnRenamed("category", "__c"), F.col("category") == F.col("__c"))
+        own = F.struct(quoted(cat).alias("category"), F.lit(False).alias("is_total"))
+        places = F.when(missing(df, cat), F.array()).otherwise(F.array(own))
+        if total:
+            places = F.when(missing(df, cat), F.array(whole)).otherwise(F.array(own, whole))
     else:
-        fenced = rows.select("*", fences.select("__lo").scalar().alias("__lo"), fences.select("__hi").scalar().alias("__hi"))
+        places = F.array(whole)
+    # a row counts for its category and for the total; both are summarised in the same pass
+    keys = ["category", "is_total"]
+    long = rows.select(F.explode(places).alias("p"), quoted(num).cast("double").alias("v")).select("p.*", "v")
+    stats = _stats(long, "v", keys, None, null_keys=True)
+    iqr = F.col("q3") - F.col("q1")
+    fenced = stats.select("*", (F.col("q1") - 1.5 * iqr).alias("__lo"), (F.col("q3") + 1.5 * iqr).alias("__hi"))
+    names = [c for c in fenced.columns if c not in keys]
     inside = F.col("v").between(F.col("__lo"), F.col("__hi"))
-    whiskers = fenced.groupBy(*keys).agg(
+    boxes = attach(long, fenced, keys, names, null_safe=True).groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in stats.columns if c not in keys],
         F.min(F.when(inside, F.col("v"))).alias("lower_whisker"),
         F.max(F.when(inside, F.col("v"))).alias("upper_whisker"),
         F.count_if(~inside).alias("outliers"),
     )
-    if grouped:
-        whiskers = whiskers.withColumnRenamed("category", "__c")
-        out = stats.join(whiskers, F.col("category") == F.col("__c")).select(
-            "category", F.lit(False).alias("is_total"), *_BOX
-        )
-    else:
-        out = stats.select(
-            "*", *[whiskers.select(n).scalar().alias(n) for n in ("lower_whisker", "upper_whisker", "outliers")]
-        ).select(F.lit(None).cast(kind).alias("category"), F.lit(True).alias("is_total"), *_BOX)
-    return out
+    return boxes.select(*keys, *_BOX)
 
 
 _BOX = ("count", "min", "lower_whisker", "q1", "median", "q3", "upper_whisker", "max", "mean", "std", "outliers")
