@@ -16,6 +16,8 @@ from millrace.operators.ordered import Measure, running, slice_rows
 
 DISTINCT_KEY = "millrace.percentileDistinctLimit"
 DISTINCT_LIMIT = 50_000
+ROWS_KEY = "millrace.percentileRowLimit"
+ROWS_LIMIT = 1_000_000
 
 
 def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
@@ -31,10 +33,16 @@ def column_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int,
     return {c: (found[f"d{i}"], found[f"n{i}"]) for i, c in enumerate(columns)}
 
 
+def fits_one_task(df: DataFrame, size: tuple[int, int]) -> bool:
+    """Whether one task may hold a count per distinct value: few of them, or few values in all."""
+    distinct, values = size
+    conf = df.sparkSession.conf
+    return distinct <= int(conf.get(DISTINCT_KEY, str(DISTINCT_LIMIT))) or values <= int(conf.get(ROWS_KEY, str(ROWS_LIMIT)))
+
+
 def few_values(df: DataFrame, columns: Sequence[str]) -> set[str]:
-    """Columns with so few distinct values that one task may hold a count for each of them."""
-    limit = distinct_limit(df)
-    return {c for c, (distinct, _) in column_sizes(df, columns).items() if distinct <= limit}
+    """Columns whose quantiles may be computed by one aggregate."""
+    return {c for c, size in column_sizes(df, columns).items() if fits_one_task(df, size)}
 
 
 def percentile(df: DataFrame, column: str, probabilities: Sequence[float], accuracy: int | None = None) -> Column:
@@ -45,10 +53,6 @@ def percentile(df: DataFrame, column: str, probabilities: Sequence[float], accur
     return F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
 
 
-def distinct_limit(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(DISTINCT_KEY, str(DISTINCT_LIMIT)))
-
-
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -67,7 +71,7 @@ def quantiles(
     groups = [quoted(k) for k in keys]
     if accuracy is None and sizes is None:
         sizes = column_sizes(df, columns)
-    small = {c for c in columns if accuracy is not None or sizes[c][0] <= distinct_limit(df)}
+    small = {c for c in columns if accuracy is not None or fits_one_task(df, sizes[c])}
     parts = []
     light = {o: w for o, w in wanted.items() if w[0] in small}
     heavy = {o: w for o, w in wanted.items() if w[0] not in small}

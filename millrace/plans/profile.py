@@ -13,7 +13,7 @@ from millrace.functions.calendar import FIXED
 from millrace.operators.binning import bin_index, equal_edges, interval_texts
 from millrace.operators.grouping import attach, drop_missing_keys, group_agg
 from millrace.operators.ordered import Measure, running, slice_rows
-from millrace.operators.quantiles import column_sizes, distinct_limit, percentile, quantiles
+from millrace.operators.quantiles import column_sizes, fits_one_task, percentile, quantiles
 from millrace.operators.resample import resample
 from millrace.operators.rows import value_table
 from millrace.selectors import of_type, resolve
@@ -165,7 +165,7 @@ def _stats(rows: DataFrame, col: str, keys: list[str], accuracy: int | None, nul
     spec = {"count": (col, "count"), "min": (col, "min"), "max": (col, "max"), "mean": (col, "mean"), "std": (col, "std")}
     cuts = [0.25, 0.5, 0.75]
     sizes = None if accuracy is not None else column_sizes(rows, [col])
-    if sizes is None or sizes[col][0] <= distinct_limit(rows):
+    if sizes is None or fits_one_task(rows, sizes[col]):
         one = rows.groupBy(*[quoted(k) for k in keys]).agg(
             *[plain(rows, c, fn).alias(out) for out, (c, fn) in spec.items()], percentile(rows, col, cuts, accuracy).alias("__q")
         )

@@ -16,7 +16,7 @@ def spark():
 @pytest.fixture
 def thin_slices(spark):
     """Make even small tables take the sliced paths."""
-    keys = {"millrace.rowsPerSlice": "40", "millrace.percentileDistinctLimit": "3"}
+    keys = {"millrace.rowsPerSlice": "40", "millrace.percentileDistinctLimit": "3", "millrace.percentileRowLimit": "3"}
     for k, v in keys.items():
         spark.conf.set(k, v)
     yield spark
