@@ -97,8 +97,12 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int, n: int) -> DataFra
     return numbered.where((F.col("__row") >= offset) & (F.col("__row") < offset + n)).drop("__row")
 
 
-def repeat_rows(df: DataFrame, n: int) -> DataFrame:
-    """Every row ``n`` times."""
-    return df.withColumn("__again", F.explode(F.array_repeat(F.lit(True), n))).drop("__again")
+def repeat_rows(df: DataFrame, n: int, chunk: int = 10_000) -> DataFrame:
+    """Every row ``n`` times; large numbers are opened in chunks to keep arrays short."""
+    if n <= chunk:
+        return df.withColumn("__again", F.explode(F.array_repeat(F.lit(True), n))).drop("__again")
+    at = df.withColumn("__at", F.explode(F.sequence(F.lit(0), F.lit(n - 1), F.lit(chunk))))
+    here = F.least(F.lit(chunk), F.lit(n) - F.col("__at"))
+    return at.withColumn("__again", F.explode(F.array_repeat(F.lit(True), here))).drop("__at", "__again")
 
 

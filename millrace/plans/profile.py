@@ -139,17 +139,18 @@ def value_counts(df: DataFrame, col: str, top: int | None = 10) -> DataFrame:
     """Values by frequency with share, running count and running share; ``top=None`` gives all."""
     need_batch(df, "value_counts")
     counts = value_table(df, col).withColumn("__less", -F.col("count"))
-    sliced = slice_rows(counts, [], ["__less", col])
-    sliced = running(
-        sliced,
-        [
-            Measure("cumulative_count", "sum", F.col("count")),
-            Measure("__all", "total", F.col("count")),
-            Measure("rank", "count", F.lit(1)),
-        ],
+    if top is None:
+        sliced = slice_rows(counts, [], ["__less", col])
+        total = Measure("__all", "total", F.col("count"))
+    else:
+        best = counts.orderBy("__less", quoted(col)).limit(top)
+        best = best.withColumn("__whole", df.agg(F.count_if(~missing(df, col))).scalar())
+        sliced = slice_rows(best, [], ["__less", col], rows=top)
+        total = Measure("__all", "last", F.col("__whole"))
+    numbered = running(
+        sliced, [Measure("cumulative_count", "sum", F.col("count")), total, Measure("rank", "count", F.lit(1))]
     )
-    rows = sliced.df if top is None else sliced.df.where(F.col("rank") <= top)
-    return rows.select(
+    return numbered.df.select(
         "rank", quoted(col), "count", _percent(F.col("count"), F.col("__all")).alias("percent"),
         "cumulative_count", _percent(F.col("cumulative_count"), F.col("__all")).alias("cumulative_percent"),
     )
