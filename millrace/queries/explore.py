@@ -205,11 +205,16 @@ query("h18_treemap_remainder", lambda t: chart.treemap_chart(t("lineitem"), ["l_
 # --- custom functions and recipes ----------------------------------------------------------------
 
 
-def _digit_sum(key: int, line: int) -> int:
-    return sum(int(d) for d in str(key)) + line
+def _digit_sums(t: Tables) -> DataFrame:
+    # a local function travels to the executors by value, so they need no copy of this package
+    def digit_sum(key: int, line: int) -> int:
+        return sum(int(d) for d in str(key)) + line
 
+    lines = t("lineitem").select("l_orderkey", "l_linenumber")
+    return m.with_udf(lines, "digits", digit_sum, ["l_orderkey", "l_linenumber"], "long")
 
-query("z01_python_function", lambda t: m.with_udf(t("lineitem").select("l_orderkey", "l_linenumber"), "digits", _digit_sum, ["l_orderkey", "l_linenumber"], "long"),
+
+query("z01_python_function", _digit_sums,
       "SELECT l_orderkey, l_linenumber, CAST(list_sum(list_transform(string_split(CAST(l_orderkey AS VARCHAR), ''), lambda d: CAST(d AS BIGINT))) AS BIGINT) + l_linenumber AS digits FROM lineitem")
 
 
