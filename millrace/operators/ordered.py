@@ -27,6 +27,7 @@ ROWS_PER_SLICE_KEY = "millrace.rowsPerSlice"
 ROWS_PER_SLICE = 100_000
 MAX_SLICES = 10_000
 SAMPLED_PER_SLICE = 20
+CUT_LENGTH = 256
 SEED = 123
 
 SLICE = "__slice"
@@ -73,13 +74,17 @@ def _sortable(df: DataFrame, name: str) -> Column:
     return c
 
 
-def _parts(df: DataFrame, names: Sequence[str], stem: str) -> list[Column]:
+def _parts(df: DataFrame, names: Sequence[str], stem: str, longest: int | None = None) -> list[Column]:
+    """(missing flag, value) per column; texts are cut to ``longest`` characters for cut points only."""
     parts = []
     for i, name in enumerate(names):
         # no ELSE branch: nullable like the constants it is compared with, which spares a cast per row
         flag = F.when(quoted(name).isNull(), 1).when(quoted(name).isNotNull(), 0)
         parts.append(flag.alias(f"{stem}{i}n"))
-        parts.append(_sortable(df, name).alias(f"{stem}{i}v"))
+        value = _sortable(df, name)
+        if longest and isinstance(dtype(df, name), (T.StringType, T.BinaryType)):
+            value = F.substring(value, 1, longest)
+        parts.append(value.alias(f"{stem}{i}v"))
     return parts
 
 
@@ -126,7 +131,9 @@ def slice_rows(
     key = F.struct(*_parts(df, by, "b"), *_parts(df, order_by, "o"))
     fraction = min(1.0, 1.2 * SAMPLED_PER_SLICE * wanted / total)
     # about 20 sampled keys per slice, whatever the size of the table
-    sampled = (df if drawn_from is None else drawn_from).select(key.alias("k")).sample(False, fraction, SEED).agg(F.array_sort(F.collect_list("k")).alias("k"))
+    # any value may serve as a cut point, so long texts need not be carried whole
+    drawn_key = F.struct(*_parts(df, by, "b"), *_parts(df, order_by, "o", CUT_LENGTH))
+    sampled = (df if drawn_from is None else drawn_from).select(drawn_key.alias("k")).sample(False, fraction, SEED).agg(F.array_sort(F.collect_list("k")).alias("k"))
     cuts = sampled.select(
         F.transform(
             F.sequence(F.lit(1), F.lit(wanted - 1)),

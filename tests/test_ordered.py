@@ -89,6 +89,18 @@ def test_every_order_type_survives_the_cut_points(thin_slices, kind):
     assert (merged["i"] == merged["i_w"]).all()
 
 
+def test_long_texts_and_odd_numbers_as_order(thin_slices):
+    odd = F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 13 == 0, float("inf")).when(F.col("id") % 17 == 0, float("-inf"))
+    df = thin_slices.range(400).select(
+        "id", odd.otherwise((F.col("id") * 7 % 400) / 3 - 60).alias("v"), F.encode(F.concat(F.lit("k"), F.col("id") % 19), "utf-8").alias("raw"),
+        F.concat(F.repeat(F.lit("x"), 300), (F.col("id") * 7 % 50).cast("string")).alias("text"),
+    )
+    for order in (["v", "id"], ["raw", "id"], ["text", "id"], ["text", "v", "id"]):
+        got = number_rows(df, order, "i").toPandas()
+        want = number_rows_plain(df, order).toPandas()
+        assert (got.merge(want, on="id", suffixes=("", "_w")).eval("i == i_w")).all(), order
+
+
 def number_rows_plain(df, order):
     from pyspark.sql import Window
 
