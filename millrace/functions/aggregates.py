@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.contract import DATETIMES, clean, dtype, need_order, quoted, truth
+from millrace.contract import DATETIMES, clean, dtype, missing, need_order, quoted, truth
 
 # functions that are one aggregate expression
 PLAIN = (
@@ -20,10 +20,8 @@ ORDERED = ("first", "last", "idxmax", "idxmin")
 
 
 def place(df: DataFrame, order_by: Sequence[str]) -> Column:
-    """The position of a row as one comparable value."""
-    if len(order_by) == 1:
-        return quoted(order_by[0])
-    return F.struct(*[quoted(c) for c in order_by])
+    """The position of a row as one comparable value; missing keys come last."""
+    return F.struct(*[x for c in order_by for x in (missing(df, c), clean(df, c))])
 
 
 def reversed_key(c: Column, kind: T.DataType) -> Column:
@@ -100,7 +98,7 @@ def plain(
         if label is None:
             raise ValueError(f"{fn} returns a row label: pass label=<column>")
         if fn == "idxmin":
-            return F.min_by(quoted(label), F.when(c.isNotNull(), F.struct(c, *[quoted(o) for o in order])))
-        back = [reversed_key(quoted(o), dtype(df, o)) for o in order]
+            return F.min_by(quoted(label), F.when(c.isNotNull(), F.struct(c, place(df, order))))
+        back = [x for o in order for x in (~missing(df, o), reversed_key(clean(df, o), dtype(df, o)))]
         return F.max_by(quoted(label), F.when(c.isNotNull(), F.struct(c, *back)))
     raise ValueError(f"unknown function {fn!r}; use one of {FUNCTIONS}")

@@ -15,16 +15,16 @@ def _quarter_end(c: Column) -> Column:
     return F.last_day(F.add_months(F.trunc(_day(c), "quarter"), 2))
 
 
-# attribute name, also the suffix of the new column
+# fixed values: attribute names, also the suffixes of the new columns
 ATTRIBUTES: dict[str, Callable[[Column], Column]] = {
     "year": F.year,
     "quarter": F.quarter,
-    "month": F.month,
+    "month_number": F.month,
     "month_name": lambda c: F.date_format(c, "MMMM"),
     "week": F.weekofyear,
     "dayofyear": F.dayofyear,
-    "day": F.dayofmonth,
-    "weekday": F.weekday,
+    "dayofmonth": F.dayofmonth,
+    "dayofweek": F.weekday,
     "weekday_name": lambda c: F.date_format(c, "EEEE"),
     "hour": F.hour,
     "minute": F.minute,
@@ -39,7 +39,7 @@ ATTRIBUTES: dict[str, Callable[[Column], Column]] = {
     "is_quarter_end": lambda c: _quarter_end(c) == _day(c),
     "is_month_start": lambda c: F.dayofmonth(c) == 1,
     "is_month_end": lambda c: F.last_day(_day(c)) == _day(c),
-    "unix_timestamp": lambda c: F.unix_seconds(c.cast("timestamp")),
+    "timestamp": lambda c: F.unix_seconds(c.cast("timestamp")),
 }
 
 

@@ -57,7 +57,8 @@ def label_table(df: DataFrame, col: str, order: str = "value", order_by: Sequenc
     if order == "appearance":
         need_order(df, order_by, "encoding by appearance")
         marks = [f"__o{i}" for i in range(len(order_by))]
-        firsts = rows.groupBy("value").agg(F.min(F.struct(*[F.col(m) for m in marks])).alias("__first"))
+        place = F.struct(*[x for m in marks for x in (missing(rows, m).alias(f"{m}_missing"), clean(rows, m).alias(m))])
+        firsts = rows.groupBy("value").agg(F.min(place).alias("__first"))
         spread = firsts.select("value", *[F.col("__first").getField(m).alias(m) for m in marks])
         return number_rows(spread, marks, "code", start=start).select("value", "code")
     raise ValueError(f"unknown label order {order!r}")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.contract import all_true, as_list, common_type, dtype, need_batch, need_columns, quoted, same
+from millrace.contract import all_true, as_list, clean, common_type, dtype, need_batch, need_columns, quoted, same
 from millrace.selectors import resolve
 
 HOT_KEY = "millrace.hotKeyRows"
@@ -85,7 +85,8 @@ def join(
     for x, y in pairs:
         kx, ky = dtype(left, x), dtype(right, y)
         kind = common_type([kx, ky])
-        cx, cy = F.col(lp[x]), F.col(rp[y])
+        # NaN and NULL are one missing key
+        cx, cy = clean(a, lp[x]), clean(b, rp[y])
         sides.append((cx if kx == kind else cx.cast(kind), cy if ky == kind else cy.cast(kind)))
     condition = all_true([same(x, y, null_safe) for x, y in sides])
     l_keys = [lp[x] for x, _ in pairs]

@@ -23,10 +23,6 @@ def distinct_values(df: DataFrame, names: Sequence[str], limit: int, what: str)
     return sorted(tuple(r) for r in found)
 
 
-def _heading(values: Sequence) -> str:
-    return "_".join(str(v) for v in values)
-
-
 def pivot_table(
     df: DataFrame,
     rows,
@@ -48,17 +44,18 @@ def pivot_table(
     if not rows:
         raise ValueError("a pivot table needs at least one row field")
     base = drop_missing_keys(df, rows + cols)
-    combos = distinct_values(base, cols, max_columns, "the pivot table") if cols else []
-    heads = [_heading(c) for c in combos]
+    head = F.concat_ws("_", *[quoted(c).cast("string") for c in cols]) if cols else F.lit(agg)
+    # headings are texts that Spark made, as the cells' are, whatever the type
+    combos = distinct_values(base.withColumn("__head", head), [*cols, "__head"], max_columns, "the pivot table") if cols else []
+    heads = [c[-1] for c in combos] if cols else [agg]
     if len(set(heads)) < len(heads):
         raise ValueError(f"two column combinations have the same heading: {heads}")
-    head = F.concat_ws("_", *[quoted(c).cast("string") for c in cols]) if cols else F.lit(agg)
-    if not cols:
-        heads = [agg]
 
     tagged = base.withColumn("__head", head)
     texts = {r: quoted(r).cast("string") for r in rows}
     if margins:
+        if cols and margins_name in heads or not base.where(texts[rows[0]] == margins_name).isEmpty():
+            raise ValueError(f"{margins_name!r} is a value of a row or column field; choose another margins_name")
         tagged = tagged.select("*", *[texts[r].alias(f"__row{i}") for i, r in enumerate(rows)])
         marks = [f"__row{i}" for i in range(len(rows))]
         headings = heads + ([margins_name] if cols else [])

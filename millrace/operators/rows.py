@@ -83,9 +83,8 @@ def top_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
 
 
 def keep_top_values(df: DataFrame, col: str, k: int = 20) -> DataFrame:
+    # adaptive execution broadcasts the values if their size allows it
     top = top_values(df, col, k).select(quoted(col).alias("__top"))
-    if k <= TOP_LIMIT:
-        top = F.broadcast(top)
     return df.join(top, quoted(col) == F.col("__top"), "left_semi")
 
 
@@ -94,7 +93,7 @@ def page(df: DataFrame, order_by: Sequence[str], offset: int, n: int) -> DataFra
     if offset + n <= TOP_LIMIT:
         return sort_rows(df, order_by).offset(offset).limit(n)
     numbered = number_rows(df, order_by, "__row")
-    return numbered.where((F.col("__row") >= offset) & (F.col("__row") < offset + n)).drop("__row")
+    return numbered.where((F.col("__row") >= offset) & (F.col("__row") < offset + n)).orderBy("__row").drop("__row")
 
 
 def repeat_rows(df: DataFrame, n: int, chunk: int = 10_000) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.contract import common_type, dtype, need_order, quoted, spare_name, unique_names
+from millrace.contract import FLOATS, clean, common_type, dtype, missing, need_order, quoted, spare_name, unique_names
 from millrace.operators.ordered import number_rows
 from millrace.selectors import resolve
 
@@ -58,12 +58,13 @@ def drop_duplicates(df: DataFrame, columns=None, keep: str = "first", order_by:
     """
     names = df.columns if columns is None else resolve(df, columns)
     rest = [c for c in df.columns if c not in names]
+    df = df.withColumns({n: clean(df, n) for n in names if isinstance(dtype(df, n), FLOATS)})
     if not rest:
         return df.dropDuplicates(names)
     if keep not in ("first", "last"):
         raise ValueError(f"keep is 'first' or 'last', not {keep!r}")
     order = need_order(df, order_by, "drop_duplicates on some columns")
-    place = F.struct(*[x for c in order for x in (quoted(c).isNull(), quoted(c))])
+    place = F.struct(*[x for c in order for x in (missing(df, c), clean(df, c))])
     pick = F.min_by if keep == "first" else F.max_by
     kept = df.groupBy(*[quoted(n) for n in names]).agg(pick(F.struct(*[quoted(c) for c in rest]), place).alias("__row"))
     return kept.select(*[(quoted(c) if c in names else F.col("__row").getField(c)).alias(c) for c in df.columns])

@@ -210,34 +210,26 @@ def semantic_classes(df: DataFrame, columns=None, numbers_as_categories: bool =
     return result
 
 
-def widest_readable(span: float) -> float:
-    """The widest of 1, 0.5 or 0.25 times a power of ten that cuts the span into at least 5 bins."""
-    unit = 10.0 ** (math.ceil(math.log10(span)) - 1)
-    for share in (1, 0.5, 0.25):
-        if span / (unit * share) >= 5:
-            return unit * share
-    return unit / 10
-
-
-def readable_width(span: float, bins: int) -> float:
-    """A bin width for about ``bins`` bins, rounded to two digits of its own size."""
-    step = widest_readable(span) / 10
-    width = max(1, math.ceil(span / bins / step)) * step
-    return round(width, 2 - math.ceil(math.log10(width)))
+def readable_width(least: float) -> float:
+    """The smallest of 1, 2.5 or 5 times a power of ten that is at least ``least``."""
+    power = math.floor(math.log10(least)) - 1  # one lower, as logarithms round
+    choices = (float(f"{digit}e{power + k}") for k in range(4) for digit in (1, 2.5, 5))
+    return next(width for width in choices if width >= least * (1 - 1e-12))
 
 
 def histogram_bins(df: DataFrame, col: str, lo=None, hi=None, bins: int = 20) -> tuple[float, float, float, int]:
-    """(lowest, highest, width, number) of readable bins."""
+    """(lowest, highest, width, number) of readable bins. Infinite values lie in no bin; bounds must be finite."""
     if lo is None or hi is None:
         c = clean(df, col).cast("double")
+        c = F.when(F.abs(c) < F.lit(math.inf), c)
         low, high = df.agg(F.min(c), F.max(c)).first()
-        if low is None:
-            low = high = 0.0
-        if low == high:
-            high = low + 1
-        lo, hi = low if lo is None else float(lo), high if hi is None else float(hi)
-    lo, hi = float(lo), float(hi)
-    width = readable_width(hi - lo, bins)
+        lo, hi = low if lo is None else lo, high if hi is None else hi
+    lo, hi = float(0 if lo is None else lo), float(0 if hi is None else hi)
+    if not (math.isfinite(lo) and math.isfinite(hi)) or lo > hi:
+        raise ValueError(f"a histogram needs finite bounds in order, not {lo} and {hi}")
+    if lo == hi:
+        hi = lo + max(1.0, abs(lo) * 1e-9)
+    width = readable_width((hi - lo) / bins)
     return lo, hi, width, max(1, math.ceil((hi - lo) / width))
 
 

@@ -50,7 +50,8 @@ class Step:
 class Recipe:
     """A list of steps. Running it only builds a plan; Spark executes when a result is asked for."""
 
-    def __init__(self, steps: list[Step] | None = None):
+    def __init__(self, steps: list[Step] | None = None, undo_limit: int = UNDO_LIMIT):
+        self._undo_limit = undo_limit
         self.steps: list[Step] = list(steps or [])
         self._undone: list[Step] = []
         self._undoable = 0
@@ -59,7 +60,7 @@ class Recipe:
         fn = registered_op(fn) if isinstance(fn, str) else fn
         self.steps.append(Step(fn, args, options, text))
         self._undone.clear()
-        self._undoable = min(UNDO_LIMIT, self._undoable + 1)
+        self._undoable = min(self._undo_limit, self._undoable + 1)
         return self
 
     def undo(self) -> "Recipe":
@@ -73,7 +74,7 @@ class Recipe:
         if not self._undone:
             raise ValueError("nothing to redo")
         self.steps.append(self._undone.pop())
-        self._undoable = min(UNDO_LIMIT, self._undoable + 1)
+        self._undoable = min(self._undo_limit, self._undoable + 1)
         return self
 
     def describe(self) -> list[str]:

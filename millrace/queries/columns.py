@@ -44,14 +44,14 @@ query("x10_text_formula", lambda t: m.with_formula(t("nation").select("n_nationk
 _DAY = "CAST(ts AS DATE)"
 # attribute -> key and SQL over a column named ts
 _DATE_SQL = {
-    "year": ("d01", "year(ts)"), "quarter": ("d02", "quarter(ts)"), "month": ("d03", "month(ts)"), "month_name": ("d04", "monthname(ts)"),
-    "week": ("d05", "week(ts)"), "dayofyear": ("d06", "dayofyear(ts)"), "day": ("d07", "day(ts)"), "weekday": ("d08", "isodow(ts) - 1"),
+    "year": ("d01", "year(ts)"), "quarter": ("d02", "quarter(ts)"), "month_number": ("d03", "month(ts)"), "month_name": ("d04", "monthname(ts)"),
+    "week": ("d05", "week(ts)"), "dayofyear": ("d06", "dayofyear(ts)"), "dayofmonth": ("d07", "day(ts)"), "dayofweek": ("d08", "isodow(ts) - 1"),
     "weekday_name": ("d09", "dayname(ts)"), "hour": ("d10", "hour(ts)"), "minute": ("d11", "minute(ts)"), "second": ("d12", "second(ts)"),
     "microsecond": ("d13", "epoch_us(ts) % 1000000"), "nanosecond": ("d14", "0"),
     "is_leap_year": ("d15", "(year(ts) % 4 = 0 AND year(ts) % 100 <> 0) OR year(ts) % 400 = 0"),
     "is_year_start": ("d16", "month(ts) = 1 AND day(ts) = 1"), "is_year_end": ("d17", "month(ts) = 12 AND day(ts) = 31"),
     "is_quarter_start": ("d18", "month(ts) % 3 = 1 AND day(ts) = 1"), "is_quarter_end": ("d19", f"month(ts) % 3 = 0 AND last_day(ts) = {_DAY}"),
-    "is_month_start": ("d20", "day(ts) = 1"), "is_month_end": ("d21", f"last_day(ts) = {_DAY}"), "unix_timestamp": ("d22", "epoch_us(ts) // 1000000"),
+    "is_month_start": ("d20", "day(ts) = 1"), "is_month_end": ("d21", f"last_day(ts) = {_DAY}"), "timestamp": ("d22", "epoch_us(ts) // 1000000"),
 }
 
 
@@ -64,9 +64,11 @@ def _date_query(name: str):
     return build
 
 
+# registered under these names before
+_KEYS = {"month_number": "month", "dayofmonth": "day", "dayofweek": "weekday", "timestamp": "unix_timestamp"}
 for _name in ATTRIBUTES:
     _key, _sql = _DATE_SQL[_name]
-    query(f"{_key}_{_name}", _date_query(_name),
+    query(f"{_key}_{_KEYS.get(_name, _name)}", _date_query(_name),
           f"SELECT id, ts, {_sql} AS ts_{_name} FROM (SELECT o_orderkey AS id, o_orderdate AS ts FROM orders UNION ALL SELECT event_id, ts FROM events)")
 
 # --- casts ---------------------------------------------------------------------------------------

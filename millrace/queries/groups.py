@@ -102,6 +102,20 @@ query("a26_pivot_table_median", lambda t: rounded(m.pivot_table(t("orders"), "o_
       f"SELECT o_orderstatus, {_cells('round(quantile_cont(o_totalprice, 0.5) @, 4)')} FROM orders GROUP BY o_orderstatus")
 query("a26_pivot_table_two_columns", lambda t: m.pivot_table(t("lineitem"), "l_linenumber", ["l_returnflag", "l_linestatus"], "l_quantity", "count"),
       "SELECT l_linenumber, " + ", ".join(f"""nullif(count(l_quantity) FILTER (l_returnflag = '{r}' AND l_linestatus = '{s}'), 0) AS "{r}_{s}" """ for r in "ANR" for s in "FO") + " FROM lineitem GROUP BY l_linenumber")
+# headings of types whose text differs between Python and Spark
+for _name, _formula, _sql_head, _heads in (
+    ("boolean", "l_quantity > 25", "l_quantity > 25", {"true": "true", "false": "false"}),
+    ("double", "l_linenumber * 10000000.0D", "l_linenumber * 10000000.0", {f"{k}.0E7": f"{k}0000000.0" for k in range(1, 8)}),
+    ("timestamp", "timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, l_linenumber / 2.0)", "TIMESTAMP '2024-01-01 00:00:00' + to_milliseconds(CAST(l_linenumber * 500 AS BIGINT))",
+     {f"2024-01-01 00:00:0{k // 2}" + (".5" if k % 2 else ""): f"TIMESTAMP '2024-01-01 00:00:0{k / 2}'" for k in range(1, 8)}),
+):
+    for _margins in (False, True):
+        _cell = ", ".join(f'nullif(sum(l_quantity) FILTER (head = {v}), NULL) AS "{h}"' for h, v in _heads.items())
+        _all = ', sum(l_quantity) AS "All"' if _margins else ""
+        query(f"a26_pivot_table_{_name}" + ("_margins" if _margins else ""),
+              lambda t, f=_formula, g=_margins: m.pivot_table(m.with_formula(t("lineitem"), "head", f), "l_returnflag", "head", "l_quantity", "sum", margins=g),
+              f"WITH t AS (SELECT *, {_sql_head} AS head FROM lineitem) SELECT l_returnflag, {_cell}{_all} FROM t GROUP BY l_returnflag"
+              + (f" UNION ALL SELECT 'All', {_cell}{_all} FROM t" if _margins else ""))
 query("a27_pivot_margins", lambda t: rounded(m.pivot_table(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "mean", margins=True)),
       f"""SELECT o_orderstatus, {_cells('round(avg(o_totalprice) @, 6)')}, round(avg(o_totalprice), 6) AS "All" FROM orders GROUP BY o_orderstatus
           UNION ALL SELECT 'All', {_cells('round(avg(o_totalprice) @, 6)')}, round(avg(o_totalprice), 6) FROM orders""")
