@@ -32,7 +32,7 @@ from millrace.llm.common import over_batches, utf8, written
 HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 LEADS = 3
-BLOCK = 256
+BLOCK = 1024
 SEED = 20_240
 
 
@@ -205,17 +205,23 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def blocks_apart(members: DataFrame, threshold: float) -> DataFrame:
-    """Near pairs of different components within buckets, from rows (key, rep, comp, sig). Buckets are cut into blocks of about BLOCK rows and blocks are paired."""
+    """Near pairs of different components within buckets, from rows (key, rep, comp, sig, keys).
+
+    Buckets are cut into blocks of about BLOCK rows and blocks are paired. A pair that shares several
+    bands is compared in the first of them only.
+    """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
     cut = members.join(sizes, "key").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     # block x meets block y once, as (lower, upper)
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("cut")).alias("lower"), F.greatest(k, F.col("cut")).alias("upper")))
-    dealt = cut.select("key", "rep", "comp", "sig", "cut", F.explode(pairs).alias("pair"))
+    dealt = cut.select("key", "rep", "comp", "sig", "keys", "cut", F.explode(pairs).alias("pair"))
     least = least_estimate(threshold)
 
     def one(table: pa.Table) -> pa.Table:
         rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)
+        band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
         side = table.column("cut").to_numpy()
         lower, upper = table.column("pair")[0].as_py().values()
         rows, cols = (np.flatnonzero(side == lower), np.flatnonzero(side == upper))
@@ -226,6 +232,7 @@ def blocks_apart(members: DataFrame, threshold: float) -> DataFrame:
                 far = far[rep[far] > rep[k]]
             if len(far):
                 far = far[estimates(sig[k][None], sig[far]) >= least]
+                far = far[(keys[far, :band] != keys[k, :band]).all(1)]
                 a.append(np.minimum(rep[far], rep[k])), b.append(np.maximum(rep[far], rep[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
@@ -252,7 +259,7 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str
     found = components(links)
     placed = met.select("rep", "key").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("comp", F.coalesce("least", "rep")).drop("least")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(open_keys, "key").join(reps.select("rep", "sig"), "rep")
+    rest = placed.join(open_keys, "key").join(reps, "rep")
     more = written(confirmed(blocks_apart(rest, threshold), texts, size, threshold))
     if not more.isEmpty():
         found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").union(more))
