@@ -3,9 +3,9 @@
 Documents become ids plus an end id, and longer ones are cut into full pieces and a rest. Pieces are
 dealt by a hash into groups of about ``group_rows`` and every group is packed by itself, so a task
 holds a bounded number of short rows however large the table. Within a group pieces come in falling
-length; each goes where the sum of squares of the numbers of open sequences per gap becomes smallest,
-a new sequence being one of the choices and the smallest gap winning ties. A filled sequence has no gap
-and counts nothing.
+length; each goes to the open sequence where the sum of squares of the numbers of open sequences per
+gap becomes smallest, the smallest gap winning ties, and to a new one if it fits in none. A filled
+sequence has no gap and counts nothing.
 
 A missing or empty text is the end id alone. Rows that repeat are packed each for itself; an empty
 table gives an empty one. Columns other than the id and the text are not read.
@@ -63,8 +63,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         if change[0] != far:
             change[0] -= 1
         gap = int(change.argmin()) + size
-        fresh = count[capacity - size] + (1 if size < capacity else 0)
-        if change[gap - size] <= fresh:
+        if change[gap - size] != far:
             at = waiting[gap].pop()
             count[gap] -= 1
         else:
