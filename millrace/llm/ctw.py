@@ -111,7 +111,7 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
     level = counts.astype(np.float64)
     for bits in range(7, -1, -1):
-        pair = level.reshape(len(counts), -1, 2)
+        pair = level.reshape(len(counts), 1 << bits, 2)
         zeros[:, 1 << bits : 2 << bits], ones[:, 1 << bits : 2 << bits] = pair[:, :, 0], pair[:, :, 1]
         level = pair.sum(2)
     return zeros[:, 1:], ones[:, 1:]
@@ -201,7 +201,7 @@ def byte_logs(p: np.ndarray) -> np.ndarray:
     level = np.zeros((len(p), 1))
     for bits in range(8):
         one = p[:, (1 << bits) - 1 : (2 << bits) - 1]
-        level = np.stack([level + np.log10(1 - one), level + np.log10(one)], 2).reshape(len(p), -1)
+        level = np.stack([level + np.log10(1 - one), level + np.log10(one)], 2).reshape(len(p), 2 << bits)
     return level
 
 
