@@ -8,8 +8,9 @@
 3. First round: in every bucket of a band each member is compared with three leads (the least by three
    hashes). Whatever is confirmed on the full sets links the members, and connected components are found
    by passing on least ids, with every round written to the shared folder.
-4. Second round: in buckets that still hold several components, members of different ones are compared
-   block by block, so that no link between different texts is lost; blocks hold a bounded number of rows.
+4. Second and third round: in buckets that still hold several components, members of different ones are
+   compared block by block. First only each member's likeliest partners are confirmed, then whatever is
+   still apart, so that no link between different texts is lost; blocks hold a bounded number of rows.
 
 A pair of similarity s shares a band with probability 1 - (1 - s^4)^32: all but 5e-8 at 0.8.
 
@@ -204,11 +205,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks_apart(members: DataFrame, threshold: float) -> DataFrame:
+def blocks_apart(members: DataFrame, threshold: float, best: int | None = None) -> DataFrame:
     """Near pairs of different components within buckets, from rows (key, rep, comp, sig, keys).
 
     Buckets are cut into blocks of about BLOCK rows and blocks are paired. A pair that shares several
-    bands is compared in the first of them only.
+    bands is compared in the first of them only. With ``best`` only that many partners of each member,
+    those that look most similar, are returned from each pair of blocks.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
     cut = members.join(sizes, "key").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
@@ -231,8 +233,12 @@ def blocks_apart(members: DataFrame, threshold: float) -> DataFrame:
             if lower == upper:
                 far = far[rep[far] > rep[k]]
             if len(far):
-                far = far[estimates(sig[k][None], sig[far]) >= least]
-                far = far[(keys[far, :band] != keys[k, :band]).all(1)]
+                alike = estimates(sig[k][None], sig[far])
+                far, alike = far[alike >= least], alike[alike >= least]
+                if best:
+                    far = far[np.argsort(-alike, kind="stable")[:best]]
+                else:
+                    far = far[(keys[far, :band] != keys[k, :band]).all(1)]
                 a.append(np.minimum(rep[far], rep[k])), b.append(np.maximum(rep[far], rep[k]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
 
@@ -257,12 +263,15 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str
     pairs = pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")).join(right, "b").join(left, "a")
     links = written(confirmed(near(pairs, threshold), texts, size, threshold))
     found = components(links)
-    placed = met.select("rep", "key").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("comp", F.coalesce("least", "rep")).drop("least")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = placed.join(open_keys, "key").join(reps, "rep")
-    more = written(confirmed(blocks_apart(rest, threshold), texts, size, threshold))
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").union(more))
+    # likely partners first, as they join most of what belongs together; then all that is still apart
+    for best in (LEADS, None):
+        placed = met.select("rep", "key").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("comp", F.coalesce("least", "rep")).drop("least")
+        placed = written(placed)
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+        rest = placed.join(open_keys, "key").join(reps, "rep")
+        more = written(confirmed(blocks_apart(rest, threshold, best), texts, size, threshold))
+        if not more.isEmpty():
+            found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").union(more))
     reached = first.join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
     return own.join(reached, "digest", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
