@@ -96,9 +96,9 @@ def sql(table: str = "documents") -> str:
     breaks = BREAK.replace("'", "''")
     return f"""
 WITH cut AS (
-  SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '{breaks}'), s -> trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS plain FROM {table}),
+  SELECT doc_id, list_transform(string_split_regex(coalesce(text, ''), '{breaks}'), lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) AS plain FROM {table}),
 known AS (
-  SELECT doc_id, array_to_string(list_transform(list_filter(plain, s -> map_contains(MAP {{{names}}}, s)), s -> map_extract(MAP {{{names}}}, s)[1]), ',') AS sentence_ids FROM cut)
+  SELECT doc_id, array_to_string(list_transform(list_filter(plain, lambda s: map_contains(MAP {{{names}}}, s)), lambda s: map_extract(MAP {{{names}}}, s)[1]), ',') AS sentence_ids FROM cut)
 SELECT doc_id, CASE WHEN sentence_ids = '' THEN 0 ELSE len(string_split(sentence_ids, ',')) END AS n_sentences, sentence_ids,
   CASE WHEN sentence_ids = '' THEN '' ELSE concat_ws(',', {fits}) END AS licenses
 FROM known"""
