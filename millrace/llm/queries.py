@@ -50,7 +50,9 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     text = lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])
     # find() lists spans by kind, then start
     joined = lambda spans: F.array_join(F.transform(spans, text), ",")
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in base]
+    # a second parameter would be taken for the place in the array
+    of_kind = lambda k: F.filter("spans", lambda x: x["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("bigint").alias(f"n_{k}") for k in base]
     digest = F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(*base))), 256)
     return found.select("doc_id", *counts, digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
