@@ -8,9 +8,13 @@
 3. First round: in every bucket of a band each member is compared with three leads (the least by three
    hashes). Whatever is confirmed on the full sets links the members, and connected components are found
    by passing on least ids, with every round written to the shared folder.
-4. Second and third round: in buckets that still hold several components, members of different ones are
-   compared block by block. First only each member's likeliest partners are confirmed, then whatever is
-   still apart, so that no link between different texts is lost; blocks hold a bounded number of rows.
+4. Second round: in buckets that still hold several components, members of different ones are compared
+   block by block. Each brings the least ``CARRIED`` codes of its set along. Where that is the whole set
+   the pair is decided on the spot; otherwise these codes estimate the similarity once more, and each
+   member's likeliest partners are confirmed on the texts. A block returns no more links than join its
+   components.
+5. Third round: the same for pairs with a larger set that are still apart, all of them, so that no link
+   between different texts is lost. Blocks hold a bounded number of rows of bounded size.
 
 A pair of similarity s shares a band with probability 1 - (1 - s^4)^32: all but 5e-8 at 0.8.
 
@@ -34,6 +38,8 @@ HASHES, ROWS, BITS = 128, 4, 4
 BANDS = HASHES // ROWS
 LEADS = 3
 BLOCK = 1024
+#: Codes of a set that go into a block.
+CARRIED = 512
 SEED = 20_240
 
 
@@ -144,7 +150,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
 
 
 def near(pairs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, sa, b, sb) whose signatures agree well enough, as (a, b) with a < b."""
+    """Pairs (a, sa, na, b, sb, nb) whose signatures agree well enough and whose sizes allow a link, as (a, b) with a < b."""
     least = least_estimate(threshold)
 
     def make():
@@ -156,7 +162,8 @@ def near(pairs: DataFrame, threshold: float) -> DataFrame:
 
         return one
 
-    return over_batches(pairs.select("a", "sa", "b", "sb"), make, "a bigint, b bigint").distinct()
+    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * round(threshold * 100)
+    return over_batches(pairs.where(fits).select("a", "sa", "b", "sb"), make, "a bigint, b bigint").distinct()
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -205,44 +212,83 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def blocks_apart(members: DataFrame, threshold: float, best: int | None = None) -> DataFrame:
-    """Near pairs of different components within buckets, from rows (key, rep, comp, sig, keys).
+def carried(texts: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
+    """``rep`` and ``codes``, the least codes of the set, for the texts named in ``chosen``."""
+
+    def make():
+        def one(batch):
+            codes = [shingle_set(x, size)[:CARRIED].tobytes() for x in utf8(batch)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["rep", "codes"])
+
+        return one
+
+    named = texts.withColumnRenamed("doc_id", "rep").join(chosen, "rep")
+    return over_batches(named.select("rep", "text"), make, "rep bigint, codes binary").dropDuplicates(["rep"])
+
+
+def blocks_apart(members: DataFrame, threshold: float, again: bool) -> DataFrame:
+    """Pairs of different components within buckets, from rows (key, rep, comp, sig, keys, n, codes).
 
     Buckets are cut into blocks of about BLOCK rows and blocks are paired. A pair that shares several
-    bands is compared in the first of them only. With ``best`` only that many partners of each member,
-    those that look most similar, are returned from each pair of blocks.
+    bands is compared in the first of them only. Rows (a, b, sure): pairs of whole sets come out as sure
+    links, as many as join the block's components; of the others come those that may be links, at first
+    LEADS for each member. ``again`` leaves out pairs of whole sets and returns all others.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("cuts"))
     cut = members.join(sizes, "key").withColumn("cut", F.pmod(F.xxhash64("rep"), F.col("cuts")).cast("int"))
     # block x meets block y once, as (lower, upper)
     pairs = F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(k, F.col("cut")).alias("lower"), F.greatest(k, F.col("cut")).alias("upper")))
-    dealt = cut.select("key", "rep", "comp", "sig", "keys", "cut", F.explode(pairs).alias("pair"))
-    least = least_estimate(threshold)
+    dealt = cut.select("key", "rep", "comp", "sig", "keys", "n", "codes", "cut", F.explode(pairs).alias("pair"))
+    least, parts = least_estimate(threshold), round(threshold * 100)
+    least_share = threshold - 5 * (threshold * (1 - threshold) / CARRIED) ** 0.5
 
     def one(table: pa.Table) -> pa.Table:
-        rep, comp = table.column("rep").to_numpy(), table.column("comp").to_numpy()
+        rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
+        label = table.column("comp").to_numpy().copy()
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(rep), -1)
         keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(len(rep), BANDS)
         band = int(np.flatnonzero(keys[0] == table.column("key")[0].as_py())[0])
+        codes = [np.frombuffer(x, np.uint64) for x in table.column("codes").to_pylist()]
+        known, place = np.unique(np.concatenate(codes), return_inverse=True)
+        place = np.split(place, np.cumsum([len(x) for x in codes])[:-1])
+        whole, marked = n <= CARRIED, np.zeros(len(known), bool)
         side = table.column("cut").to_numpy()
         lower, upper = table.column("pair")[0].as_py().values()
         rows, cols = (np.flatnonzero(side == lower), np.flatnonzero(side == upper))
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        for k in rows:
-            far = cols[comp[cols] != comp[k]]
+        links, open_pairs = [], []
+        for k in rows.tolist():
+            far = cols[label[cols] != label[k]]
             if lower == upper:
                 far = far[rep[far] > rep[k]]
+            if again:
+                far = far[~(whole[far] & whole[k])]
+            far = far[100 * np.minimum(n[far], n[k]) >= parts * np.maximum(n[far], n[k])]
             if len(far):
-                alike = estimates(sig[k][None], sig[far])
-                far, alike = far[alike >= least], alike[alike >= least]
-                if best:
-                    far = far[np.argsort(-alike, kind="stable")[:best]]
+                far = far[estimates(sig[k][None], sig[far]) >= least]
+                far = far[(keys[far, :band] != keys[k, :band]).all(1)]
+            marked[place[k]] = True
+            maybe = []
+            for j in far.tolist():
+                if label[j] == label[k]:
+                    continue
+                if whole[j] and whole[k]:
+                    both = np.count_nonzero(marked[place[j]])
+                    if 100 * both >= parts * (n[j] + n[k] - both):
+                        links.append((k, j))
+                        label[label == label[j]] = label[k]
                 else:
-                    far = far[(keys[far, :band] != keys[k, :band]).all(1)]
-                a.append(np.minimum(rep[far], rep[k])), b.append(np.maximum(rep[far], rep[k]))
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+                    least_codes = np.union1d(place[k], place[j])[:CARRIED]
+                    share = np.count_nonzero(marked[place[j]] & (place[j] <= least_codes[-1])) / len(least_codes)
+                    if share >= least_share:
+                        maybe.append((share, j))
+            marked[place[k]] = False
+            open_pairs += [(k, j) for _, j in (maybe if again else sorted(maybe, reverse=True)[:LEADS])]
+        open_pairs = [(k, j) for k, j in open_pairs if label[k] != label[j]]
+        k, j = np.array(links + open_pairs, np.int64).reshape(-1, 2).T
+        sure = np.arange(len(k)) < len(links)
+        return pa.table({"a": np.minimum(rep[k], rep[j]), "b": np.maximum(rep[k], rep[j]), "sure": sure})
 
-    return dealt.groupBy("key", "pair").applyInArrow(one, "a bigint, b bigint").distinct()
+    return dealt.groupBy("key", "pair").applyInArrow(one, "a bigint, b bigint, sure boolean").distinct()
 
 
 def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -251,25 +297,27 @@ def classes(docs: DataFrame, size: int = 5, threshold: float = 0.8, id_col: str
     signed = written(signatures(texts, size))
     own = signed.select("doc_id", "n_shingles", "digest")
     first = own.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = written(first.join(signed.select("doc_id", "sig", "keys"), F.col("rep") == F.col("doc_id")).select("rep", "sig", "keys").dropDuplicates(["rep"]))
+    reps = written(first.join(signed.select("doc_id", "sig", "keys", F.col("n_shingles").alias("n")), F.col("rep") == F.col("doc_id")).select("rep", "sig", "keys", "n").dropDuplicates(["rep"]))
     spread = reps.select("rep", F.explode("keys").alias("key"))
     order = lambda k: F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep"))
     leads = F.array(F.min("rep"), *(F.min(order(k))["rep"] for k in range(1, LEADS)))
     shared = spread.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_distinct(leads).alias("leads")).where("n > 1").drop("n")
     met = written(spread.join(shared, "key"))
     pairs = met.select("rep", F.explode("leads").alias("lead")).where("rep <> lead").distinct()
-    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
-    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
+    left = reps.select(F.col("rep").alias("a"), F.col("sig").alias("sa"), F.col("n").alias("na"))
+    right = reps.select(F.col("rep").alias("b"), F.col("sig").alias("sb"), F.col("n").alias("nb"))
     pairs = pairs.select(F.col("lead").alias("a"), F.col("rep").alias("b")).join(right, "b").join(left, "a")
     links = written(confirmed(near(pairs, threshold), texts, size, threshold))
     found = components(links)
-    # likely partners first, as they join most of what belongs together; then all that is still apart
-    for best in (LEADS, None):
+    for again in (False, True):
         placed = met.select("rep", "key").join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").withColumn("comp", F.coalesce("least", "rep")).drop("least")
-        placed = written(placed)
-        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-        rest = placed.join(open_keys, "key").join(reps, "rep")
-        more = written(confirmed(blocks_apart(rest, threshold, best), texts, size, threshold))
+        placed = written(placed.join(reps.select("rep", "n"), "rep"))
+        open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("n").alias("most")).where("lo <> hi")
+        rest = placed.join(open_keys.where(F.col("most") > (CARRIED if again else 0)).select("key"), "key")
+        codes = written(carried(texts, rest.select("rep").distinct(), size))
+        rest = rest.drop("n").join(reps, "rep").join(codes, "rep")
+        apart = written(blocks_apart(rest, threshold, again))
+        more = written(apart.where("sure").select("a", "b").union(confirmed(apart.where("NOT sure").select("a", "b"), texts, size, threshold)))
         if not more.isEmpty():
             found = components(found.select(F.col("node").alias("a"), F.col("least").alias("b")).where("a <> b").union(more))
     reached = first.join(found.withColumnsRenamed({"node": "rep"}), "rep", "left").select("digest", F.coalesce("least", "rep").alias("component_id"))
