@@ -119,6 +119,14 @@ def test_near_duplicates(spark):
             for _ in range(edits):
                 copy[random.randrange(len(copy))] = random.choice(vocabulary)
             texts.append(" ".join(copy))
+    for _ in range(4):  # sets larger than what a block carries
+        base = random.choices(vocabulary, k=900)
+        for edits in [0, *random.choices(range(15, 50), k=14)]:
+            copy = list(base)
+            for _ in range(edits):
+                copy[random.randrange(len(copy))] = random.choice(vocabulary)
+            texts.append(" ".join(copy))
+    random.shuffle(texts)
     texts += [None, "", "A b", "a B"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r["component_id"] for r in minhash.classes(rows, size=2).collect()}
