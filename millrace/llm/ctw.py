@@ -248,7 +248,7 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
 
     ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``. Words outside
     the frequent ones leave the text as (document, word, times) rows, meet their counts in a join and
-    come back as sums per document; an id that occurs in several rows must have one text.
+    come back as sums per row: rows are numbered when they are written, so an id may occur in several.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     training = rows.where(trained_on)
@@ -287,12 +287,12 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
                 )
 
     done = rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, known bigint, known_sum double, score double, words array<binary>, times array<int>")
-    done = written(done)
-    rare = done.select("doc_id", F.explode(F.arrays_zip("words", "times")).alias("x")).select("doc_id", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
+    done = written(done.withColumn("row", F.monotonically_increasing_id()))
+    rare = done.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counted, "word", "left")
     log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(float(base)))
-    sums = met.groupBy("doc_id").agg(F.sum(F.col("times") * log).alias("rare_sum"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("rare_known"))
-    out = done.drop("words", "times").join(sums, "doc_id", "left")
+    sums = met.groupBy("row").agg(F.sum(F.col("times") * log).alias("rare_sum"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("rare_known"))
+    out = done.drop("words", "times").join(sums, "row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     return out.select(
         "doc_id", "n_tokens",
