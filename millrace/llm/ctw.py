@@ -3,10 +3,11 @@
 Each of the 255 binary decisions that name a byte has a context tree over the bytes before it, up to
 ``DEPTH`` back. A node keeps the Krichevsky-Trofimov estimate of the decision's bits and mixes it, half
 and half, with the product over its children, so every depth takes part with the weight the data give
-it. All this depends on counts alone, which come from one pass over all training texts: how often each
-byte follows each context. Contexts that hold less than ``SHARE`` of the training bytes are summed in
-their parent's one further child, so at most 1 / SHARE contexts per depth are kept whatever the size of
-the corpus, and the fitted model is small enough to broadcast. Scoring is one look-up per byte.
+it. All this depends on counts alone, which come from one pass over all texts: how often each byte follows
+each context in training. Every context is kept, in tables that grow with the corpus: decisions are summed
+from the longest contexts up to the empty one, mixed on the way back down, and each (context, byte) gets
+its log probability. The ``HOT`` most frequent ones go to every task; the others leave a text as (row,
+gram, times) and meet their log probability in a join.
 
 Texts are lower-cased (A-Z) UTF-8; the byte 255, which UTF-8 never uses, stands before and after each.
 A missing or empty text is its end alone: one token, one coded byte. Repeated rows score alike and each
@@ -25,7 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from millrace.llm.common import over_batches, utf8, written
 
 DEPTH = 4
-SHARE = 2.0**-12
+#: Grams whose log probabilities go to every task, the most frequent ones; the rest are joined.
+HOT = 1_000_000
 EDGE = 255
 #: Words whose counts go to every task, the most frequent ones, and the longest such word in bytes.
 FREQUENT, LONGEST = 150_000, 64
@@ -53,25 +55,28 @@ def laid_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def gram_counts(docs: DataFrame) -> DataFrame:
-    """``gram`` (DEPTH bytes and the byte after them) and ``n``, over all rows."""
+    """``gram`` (DEPTH bytes and the byte after them), ``n`` over rows that are ``trained`` and ``total`` over all rows."""
 
     def run(batches):
-        keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums)], ["gram", "n"])
+        keys, sums = np.empty(0, np.uint64), np.empty((0, 2), np.int64)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], ["gram", "n", "total"])
         for batch in batches:
+            trained = batch.column(0).to_pylist()
             texts = [x.lower() for x in utf8(batch)]
-            for part in blocks(texts):
-                new, n = np.unique(codes(part), return_counts=True)
-                merged = np.concatenate([keys, new])
-                keys, inverse = np.unique(merged, return_inverse=True)
-                sums = np.bincount(inverse, np.concatenate([sums, n]), len(keys)).astype(np.int64)
-                if len(keys) > 2_000_000:
-                    yield out()
-                    keys, sums = np.empty(0, np.uint64), np.empty(0, np.int64)
+            for flag in (True, False):
+                for part in blocks([x for x, t in zip(texts, trained) if t == flag]):
+                    new, n = np.unique(codes(part), return_counts=True)
+                    keys, inverse = np.unique(np.concatenate([keys, new]), return_inverse=True)
+                    both = np.concatenate([sums, np.column_stack([n * flag, n])])
+                    sums = np.column_stack([np.bincount(inverse, both[:, k], len(keys)).astype(np.int64) for k in (0, 1)])
+                    if len(keys) > 2_000_000:
+                        yield out()
+                        keys, sums = np.empty(0, np.uint64), np.empty((0, 2), np.int64)
         if len(keys):
             yield out()
 
-    return docs.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    counted = docs.select("trained", "text").mapInArrow(run, "gram bigint, n bigint, total bigint")
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
 def blocks(texts: list[bytes], most: int = 1 << 22):
@@ -118,7 +123,7 @@ def decisions(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tree:
-    """Kept contexts by depth, steps from context to longer context, and log10 probabilities of the next byte."""
+    """The tree in memory, which tests hold ``gram_logs`` against. Kept contexts by depth, steps from context to longer context, and log10 probabilities of the next byte."""
 
     def __init__(self, counts: list[dict[int, np.ndarray]]):
         # counts[d]: context of d bytes (the latest lowest) -> counts of the 256 next bytes
@@ -205,22 +210,99 @@ def byte_logs(p: np.ndarray) -> np.ndarray:
     return level
 
 
-def fit(training: DataFrame) -> Tree:
-    """The tree of all training texts. Only counts of kept contexts, at most 1 / SHARE per depth, reach the driver."""
-    grams = written(gram_counts(training))
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    least = max(1, total * SHARE)
-    counts: list[dict[int, np.ndarray]] = [{0: np.zeros(256)}]
-    frame = grams.select(F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
-    for d in range(DEPTH + 1):
-        rows = frame.withColumn("context", F.col("context").bitwiseAND((1 << 8 * d) - 1)).groupBy("context", "byte").agg(F.sum("n").alias("n"))
-        if d:
-            heavy = rows.groupBy("context").agg(F.sum("n").alias("m")).where(F.col("m") >= least).select("context")
-            rows = rows.join(heavy, "context")
-            counts.append({})
-        for c, b, n in rows.toPandas().itertuples(index=False):
-            counts[d].setdefault(int(c), np.zeros(256))[int(b)] = n
-    return Tree(counts)
+def log_gamma_column(x: Column) -> Column:
+    """``log_gamma`` as a column."""
+    low = x < 8
+    y = F.when(low, x + 8).otherwise(x)
+    product = x
+    for k in range(1, 8):
+        product = product * (x + k)
+    series = (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y)
+    return series - F.when(low, F.log(product)).otherwise(0.0)
+
+
+def kt_log_column(zeros: Column, ones: Column) -> Column:
+    return log_gamma_column(zeros + 0.5) + log_gamma_column(ones + 0.5) - log_gamma_column(zeros + ones + 1.0) - float(np.log(np.pi))
+
+
+def gram_logs(grams: DataFrame) -> DataFrame:
+    """``gram``, ``total`` and ``log_p``, the log10 probability of the gram's last byte after the others, from ``gram_counts``.
+
+    A key is a context and one of the 255 decisions in heap order, the decision lowest. A context has at
+    most 256 longer ones, so no key of a join has many rows.
+    """
+    parted = grams.select("gram", "total", F.shiftrightunsigned("gram", 8).alias("context"), F.col("gram").bitwiseAND(255).alias("byte"), "n")
+    decided = parted.select("context", "byte", "n", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("level"))
+    bit = F.expr("shiftright(byte, 7 - level) & 1")
+    zeros, ones = (F.sum(F.when(bit == k, F.col("n")).otherwise(0)) for k in (0, 1))
+    key = F.expr("shiftleft(context, 8) | shiftleft(1, level) | shiftright(byte, 8 - level)")
+    above = lambda d: F.col("key").bitwiseAND(F.lit((1 << 8 * d + 8) - 1))
+    own = kt_log_column(F.col("zeros"), F.col("ones"))
+    # from the longest contexts to the empty one: a context's weighted probability, and the weight of its own estimate
+    tables = [decided.groupBy(key.alias("key")).agg(zeros.alias("zeros"), ones.alias("ones")).select("*", own.alias("weighted"), F.lit(1.0).alias("mix"))]
+    tables[0] = written(tables[0])
+    for d in range(DEPTH - 1, -1, -1):
+        here = tables[0].groupBy(above(d).alias("key")).agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("under"))
+        here = here.withColumn("own", own)
+        gap = F.col("under") - F.col("own")
+        weighted = F.greatest("own", "under") + F.log1p(F.exp(-F.abs(gap))) + float(np.log(0.5))
+        mix = 1 / (1 + F.exp(F.least(F.greatest(gap, F.lit(-700.0)), F.lit(700.0))))
+        tables.insert(0, written(here.select("key", "zeros", "ones", weighted.alias("weighted"), mix.alias("mix"))))
+    # and back: the chance of a one, and the weight left to longer contexts
+    down = None
+    for d, table in enumerate(tables):
+        share = F.col("mix") * (F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1.0)
+        if down is None:
+            down = table.select("key", share.alias("one"), (1 - F.col("mix")).alias("left"))
+            continue
+        before = down.select(F.col("key").alias("parent"), F.col("one").alias("one_before"), F.col("left").alias("left_before"))
+        met = table.join(before, above(d - 1) == F.col("parent"))
+        down = met.select("key", (F.col("one_before") + F.col("left_before") * share).alias("one"), (F.col("left_before") * (1 - F.col("mix"))).alias("left"))
+    chances = down.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(255).cast("int").alias("node"), "one"))).alias("ones"))
+
+    def step(level: int) -> Column:
+        one = F.element_at("ones", F.expr(f"cast(shiftleft(1, {level}) | shiftright(byte, {8 - level}) as int)"))
+        return F.log10(F.when(F.expr(f"shiftright(byte, {7 - level}) & 1") == 1, one).otherwise(1 - one))
+
+    return parted.join(chances, "context").select("gram", "total", sum((step(k) for k in range(1, 8)), step(0)).alias("log_p"))
+
+
+def hottest(grams: DataFrame, most: int) -> Column:
+    """A condition on ``total`` that the most frequent grams fulfil, at most so many."""
+    size = F.floor(F.log2("total") * 8)
+    least, held = None, 0
+    for r in grams.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # some hundred rows
+        held += r["count"]
+        if held > most:
+            break
+        least = r["size"]
+    return F.lit(False) if least is None else size >= least
+
+
+class Known:
+    """Log probabilities of the hottest grams."""
+
+    def __init__(self, grams: np.ndarray, logs: np.ndarray):
+        grams = grams.astype(np.int64).view(np.uint64)
+        order = np.argsort(grams)
+        self.grams, self.logs = grams[order], logs[order].astype(np.float64)
+
+    def scores(self, texts: list[bytes]) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """For each lower-cased text the sum over its known grams, its other grams, and how often it has each of those."""
+        found = codes(texts)
+        _, _, begin = laid_out(texts)
+        own, inverse = np.unique(found, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.grams, own), max(0, len(self.grams) - 1))
+        known = self.grams[at] == own if len(self.grams) else np.zeros(len(own), bool)
+        logs = np.zeros(len(own))
+        logs[known] = self.logs[at[known]]
+        rare = np.flatnonzero(~known[inverse])
+        text = np.searchsorted(begin, rare, "right") - 1
+        pairs, times = np.unique(text << 32 | inverse[rare], return_counts=True)
+        offsets = pa.array(np.searchsorted(pairs >> 32, np.arange(len(texts) + 1)), pa.int32())
+        grams = pa.array(own.view(np.int64)[pairs & 0xFFFFFFFF])
+        return np.add.reduceat(logs[inverse], begin), pa.ListArray.from_arrays(offsets, grams), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
 
 
 # ---- words ----
@@ -247,11 +329,12 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
     """Scores of all rows, learned from those where ``trained_on`` (a condition on ``doc_id``) holds.
 
     ``doc_id``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score``. Words outside
-    the frequent ones leave the text as (document, word, times) rows, meet their counts in a join and
+    the frequent ones, and grams that are not hot, leave the text as (row, word, times) rows, meet their counts in a join and
     come back as sums per row: rows are numbered when they are written, so an id may occur in several.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    training = rows.where(trained_on)
+    named = docs if id_col == "doc_id" else docs.withColumn("doc_id", F.col(id_col))
+    rows = named.select("doc_id", F.col(text_col).alias("text"), F.coalesce(trained_on, F.lit(False)).alias("trained"))
+    training = rows.where("trained")
     counted = written(word_counts(training))
     ends, = training.agg(F.count(F.lit(1))).first()
     words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -261,16 +344,22 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
     top = often.toPandas()
     table = {bytes(w): (float(np.log10((n + 0.5) / base)), 1) for w, n in zip(top["word"], top["n"])}
     end = float(np.log10((ends + 0.5) / base))
-    tree = docs.sparkSession.sparkContext.broadcast((fit(training), table))
+    grams = written(gram_logs(written(gram_counts(rows))))
+    hot = hottest(grams, HOT)
+    near = grams.where(hot).select("gram", "log_p").toPandas()
+    model = docs.sparkSession.sparkContext.broadcast((near["gram"].to_numpy(), near["log_p"].to_numpy(), table))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        model, known = tree.value
+        *logs_of_grams, known = model.value
+        near = Known(*logs_of_grams)
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)
                 texts = [x.lower() for x in utf8(part)]
-                scores = np.concatenate([model.scores(run) for run in blocks(texts)])
+                sums = [near.scores(run) for run in blocks(texts)]
+                scores = np.concatenate([x[0] for x in sums])
+                rare_grams, gram_times = (pa.concat_arrays([x[k] for x in sums]) for k in (1, 2))
                 n_tokens, known_sum, known_n, rare_words, rare_times = [], [], [], [], []
                 for x in texts:
                     found = x.split()
@@ -282,22 +371,24 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
                     rare = Counter(w for w, v in zip(found, logs) if v is None) if n else {}
                     rare_words.append(list(rare)), rare_times.append(list(rare.values()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(known_n, pa.int64()), pa.array(known_sum, pa.float64()), pa.array(scores), pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_times, pa.list_(pa.int32()))],
-                    ["doc_id", "n_tokens", "known", "known_sum", "score", "words", "times"],
+                    [part.column(0), pa.array(n_tokens, pa.int64()), pa.array(known_n, pa.int64()), pa.array(known_sum, pa.float64()), pa.array(scores), rare_grams, gram_times, pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_times, pa.list_(pa.int32()))],
+                    ["doc_id", "n_tokens", "known", "known_sum", "score", "grams", "gram_times", "words", "times"],
                 )
 
-    done = rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, known bigint, known_sum double, score double, words array<binary>, times array<int>")
+    done = rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens bigint, known bigint, known_sum double, score double, grams array<bigint>, gram_times array<int>, words array<binary>, times array<int>")
     done = written(done.withColumn("row", F.monotonically_increasing_id()))
     rare = done.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     met = rare.join(counted, "word", "left")
     log = F.log10((F.coalesce(F.col("n"), F.lit(0)) + 0.5) / F.lit(float(base)))
     sums = met.groupBy("row").agg(F.sum(F.col("times") * log).alias("rare_sum"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("rare_known"))
-    out = done.drop("words", "times").join(sums, "row", "left")
+    apart = done.select("row", F.explode(F.arrays_zip("grams", "gram_times")).alias("x")).select("row", F.col("x.grams").alias("gram"), F.col("x.gram_times").alias("times"))
+    logs = apart.join(grams.where(~hot), "gram").groupBy("row").agg(F.sum(F.col("times") * F.col("log_p")).alias("rare_score"))
+    out = done.drop("words", "times", "grams", "gram_times").join(sums, "row", "left").join(logs, "row", "left")
     zero = lambda name: F.coalesce(F.col(name), F.lit(0))
     return out.select(
         "doc_id", "n_tokens",
         (F.col("known") + zero("rare_known") + F.lit(int(ends > 0))).cast("bigint").alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("known_sum") + zero("rare_sum") + F.lit(end)).alias("base_score"),
-        "score",
+        (F.col("score") + zero("rare_score")).alias("score"),
     )

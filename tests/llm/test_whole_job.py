@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from millrace.llm import ctw
@@ -24,3 +25,19 @@ def test_repeated_rows_score_their_rare_words_once(spark, monkeypatch):
         want.append((i, len(words) + 1, sum(w in counts for w in words) + 1, pytest.approx(score)))
     got = [(r["doc_id"], r["n_tokens"], r["n_known"], r["base_score"]) for r in ctw.score(rows, rows["doc_id"] < 3).collect()]
     assert sorted(got) == sorted(want, key=lambda x: (*x[:3], x[3].expected))
+
+
+@pytest.mark.parametrize("hot", [20, 1_000_000])
+def test_every_context_takes_part_whatever_is_joined(spark, monkeypatch, hot):
+    """Scores against the tree in memory with all contexts, where rare contexts are far below 2^-12 of the bytes."""
+    monkeypatch.setattr(ctw, "HOT", hot)
+    texts = [(0, "the same line again " * 600), (1, "Zebra quilts vex"), (2, "zebra quilts vex"), (2, "zebra quilts vex"), (3, "never trained é"), (4, None), (5, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    counts: list[dict] = [{} for _ in range(5)]
+    for x in ctw.codes([(t or "").lower().encode() for i, t in texts if i in (0, 1, 5)]).tolist():
+        for d in range(5):
+            counts[d].setdefault((x >> 8) & ((1 << 8 * d) - 1), np.zeros(256))[x & 255] += 1
+    tree = ctw.Tree(counts)
+    got = ctw.score(rows, rows["doc_id"].isin(0, 1, 5)).select("doc_id", "score").collect()
+    want = zip((i for i, _ in texts), tree.scores([(t or "").lower().encode() for _, t in texts]))
+    assert sorted(map(tuple, got)) == [(i, pytest.approx(x, rel=1e-5)) for i, x in sorted(want)]
