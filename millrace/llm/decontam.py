@@ -7,9 +7,11 @@ of the item's n words.
 The CGK embedding walks through a sequence: at each step it writes the current word and moves on or
 stays, as a random bit of that step and word says. Sequences a few edits apart then agree in most steps,
 which turns edit distance into Hamming distance. Sampling a few steps gives a key; equal keys make a
-candidate. Every place of a document begins an item-sized window, and every ``STRIDE``-th place of an
-item an anchor, so that a key covers only a short stretch and several anchors and ``WALKS * SAMPLES``
-keys each give a window its chances. The first steps of a walk never leave a window of as many words, so
+candidate. Every place of a document begins an item-sized window, and every place of an item an anchor,
+so that a key covers only a short stretch and several anchors and ``WALKS * SAMPLES`` keys each give a
+window its chances. Items under ``SHORT`` words leave a walk few anchors; they are also cut into one
+piece more than they may have edits, so that one piece is left whole, and a piece's words are a key too:
+no such item is missed. The first steps of a walk never leave a window of as many words, so
 one walk serves windows of all sizes. Candidates are verified by the exact edit distance.
 
 The benchmark is read in blocks of bounded size, each sent to all tasks; documents are never shuffled. A
@@ -31,7 +33,8 @@ from millrace.llm.minhash import mixed, word_codes
 
 RATIO = 0.2
 WALKS, SAMPLES, DRAWN = 3, 2, 5
-STRIDE = 2
+#: Items of fewer words are also found by their pieces, of which the first PIECE words count.
+SHORT, PIECE = 32, 5
 #: Steps of a walk by the words an item has at least.
 STEPS = (16, 8, 4, 2, 1)
 SEED = 7_919
@@ -70,40 +73,64 @@ def embedded(sequence: np.ndarray, starts: np.ndarray, steps: int) -> list[np.nd
     return keys
 
 
+def piece_keys(sequence: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A key of the ``length`` words from each start."""
+    total = np.zeros(len(starts), np.uint64)
+    for k in range(length):
+        total = total * np.uint64(0x9E3779B97F4A7C15) + sequence[starts + k]
+    return mixed(total)
+
+
+def pieces(n: int, ratio: float) -> list[tuple[int, int]]:
+    """Start and counted words of the pieces of a short item of n words; none if it must match as it is."""
+    edits = int(ratio * n)
+    if not 0 < edits < n or n >= SHORT:
+        return []
+    edges = np.linspace(0, n, edits + 2).astype(int).tolist()
+    return [(a, min(b - a, PIECE)) for a, b in zip(edges, edges[1:])]
+
+
+def table(keys: np.ndarray, item: np.ndarray, anchor: np.ndarray) -> tuple:
+    order = np.argsort(keys)
+    seen = np.zeros(1 << 20, bool)
+    seen[(keys >> np.uint64(44)).astype(np.int64)] = True
+    return seen, keys[order], item[order], anchor[order]
+
+
 class Index:
-    """Keys of the anchors of a block of items."""
+    """Keys of the anchors and pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], ratio: float = RATIO):
         self.ids = [i for i, _ in items]
         self.words = [word_sequence(x) for _, x in items]
-        self.tiers = {}
+        self.tiers, self.pieces = {}, {}
+        if not any(map(len, self.words)):
+            return
+        joined = np.concatenate(self.words)
+        begin = np.cumsum([0, *map(len, self.words)])
         for steps in STEPS:
             above = min((s for s in STEPS if s > steps), default=math.inf)
-            chosen = [(k, a) for k, w in enumerate(self.words) if steps <= len(w) < above for a in range(0, len(w) - steps + 1, STRIDE)]
-            if not chosen:
-                continue
-            item, anchor = np.array(chosen).T
-            joined = np.concatenate(self.words)
-            first = np.cumsum([0, *map(len, self.words)])[item]
-            tables = []
-            for keys in embedded(joined, first + anchor, steps):
-                order = np.argsort(keys)
-                seen = np.zeros(1 << 20, bool)
-                seen[(keys >> np.uint64(44)).astype(np.int64)] = True
-                tables.append((seen, keys[order], item[order], anchor[order]))
-            self.tiers[steps] = tables
+            chosen = [(k, a) for k, w in enumerate(self.words) if steps <= len(w) < above for a in range(len(w) - steps + 1)]
+            if chosen:
+                item, anchor = np.array(chosen).T
+                self.tiers[steps] = [table(keys, item, anchor) for keys in embedded(joined, begin[item] + anchor, steps)]
+        cut = [(k, a, n) for k, w in enumerate(self.words) for a, n in pieces(len(w), ratio)]
+        for length in sorted({n for *_, n in cut}):
+            item, anchor = np.array([(k, a) for k, a, n in cut if n == length]).T
+            self.pieces[length] = table(piece_keys(joined, begin[item] + anchor, length), item, anchor)
 
     def candidates(self, sequence: np.ndarray, starts: np.ndarray):
         """(place, item, anchor) arrays of all key matches; ``sequence`` is padded."""
+        both = [x for steps, tables in self.tiers.items() for x in zip(embedded(sequence, starts, steps), tables)]
+        both += [(piece_keys(sequence, starts, length), known) for length, known in self.pieces.items()]
         out = []
-        for steps, tables in self.tiers.items():
-            for keys, (seen, known, item, anchor) in zip(embedded(sequence, starts, steps), tables):
-                maybe = np.flatnonzero(seen[(keys >> np.uint64(44)).astype(np.int64)])
-                low = np.searchsorted(known, keys[maybe], "left")
-                n = np.searchsorted(known, keys[maybe], "right") - low
-                hit = np.repeat(np.arange(len(maybe)), n)
-                entry = np.repeat(low, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
-                out.append(np.column_stack([starts[maybe[hit]], item[entry], anchor[entry]]))
+        for keys, (seen, known, item, anchor) in both:
+            maybe = np.flatnonzero(seen[(keys >> np.uint64(44)).astype(np.int64)])
+            low = np.searchsorted(known, keys[maybe], "left")
+            n = np.searchsorted(known, keys[maybe], "right") - low
+            hit = np.repeat(np.arange(len(maybe)), n)
+            entry = np.repeat(low, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
+            out.append(np.column_stack([starts[maybe[hit]], item[entry], anchor[entry]]))
         return np.concatenate(out) if out else np.empty((0, 3), np.int64)
 
 
@@ -145,7 +172,7 @@ def verified(item: list[int], sequence: np.ndarray, at: int, most: int) -> tuple
 
 def held(texts: list[bytes], index: Index, ratio: float):
     """(text number, item, distance, start, end) of the best hit of each item in each text."""
-    pad = np.zeros(STEPS[0], np.uint64)
+    pad = np.zeros(max(STEPS[0], PIECE), np.uint64)
     sequences = [word_sequence(x) for x in texts]
     lengths = np.array([len(s) for s in sequences])
     joined = np.concatenate([p for s in sequences for p in (s, pad)])
@@ -174,7 +201,7 @@ def find(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, id_col: st
         index = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in own.collect()])
 
         def make():
-            known = Index(index.value)
+            known = Index(index.value, ratio)
 
             def one(batch):
                 ids, out = batch.column(0).to_pylist(), []

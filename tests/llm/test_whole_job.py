@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from millrace.llm import ctw
+from millrace.llm import ctw, decontam
 
 
 def test_repeated_rows_score_their_rare_words_once(spark, monkeypatch):
@@ -41,3 +42,19 @@ def test_every_context_takes_part_whatever_is_joined(spark, monkeypatch, hot):
     got = ctw.score(rows, rows["doc_id"].isin(0, 1, 5)).select("doc_id", "score").collect()
     want = zip((i for i, _ in texts), tree.scores([(t or "").lower().encode() for _, t in texts]))
     assert sorted(map(tuple, got)) == [(i, pytest.approx(x, rel=1e-5)) for i, x in sorted(want)]
+
+
+def test_items_of_every_length_are_found_at_the_most_edits():
+    """Substitutions, deletions and insertions, as many as the ratio allows; no item under SHORT words is missed."""
+    random.seed(8)
+    for n in range(5, 61):
+        items = [(k, " ".join(f"w{random.randrange(10**6)}" for _ in range(n)).encode()) for k in range(30)]
+        texts = []
+        for _, item in items:
+            words = item.decode().split()
+            for _ in range(int(0.2 * n)):
+                at, kind = random.randrange(len(words)), random.randrange(3)
+                words[at : at + (kind < 2)] = [f"x{random.randrange(10**6)}"] if kind else []
+            texts.append(f"before it {' '.join(words)} and after it".encode())
+        found = {(t, k) for t, k, *_ in decontam.held(texts, decontam.Index(items), 0.2)}
+        assert sum((k, k) in found for k in range(30)) >= (30 if n < decontam.SHORT else 29), n
