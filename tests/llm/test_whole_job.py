@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import ctw, decontam
+from millrace.llm import ctw, decontam, toxicity
 
 
 def test_repeated_rows_score_their_rare_words_once(spark, monkeypatch):
@@ -58,3 +58,22 @@ def test_items_of_every_length_are_found_at_the_most_edits():
             texts.append(f"before it {' '.join(words)} and after it".encode())
         found = {(t, k) for t, k, *_ in decontam.held(texts, decontam.Index(items), 0.2)}
         assert sum((k, k) in found for k in range(30)) >= (30 if n < decontam.SHORT else 29), n
+
+
+def toxic_model() -> toxicity.Model:
+    chars = toxicity.CharModel(dict.fromkeys("we went over the hill and read good books in a fine garden you are an idiot".split(), 1.0))
+    return toxicity.Model({"=idiot": 5.0, "idiot": 5.0}, chars, np.array([-4.0, 6.0, 0.0]))
+
+
+def test_toxic_word_late_in_a_spaced_or_glued_passage():
+    model = toxic_model()
+    plain = "wewentoverthehillandreadgoodbooksinafinegardenwewentoverthehill"
+    assert len(plain) > 60
+    for text in (" ".join(plain + "youareanidiot" + plain), plain + "idiot", plain + "idiot" + plain * 5):
+        assert model.score(text) > 0.9 and model.score(text.replace("idiot", "garden").replace("i d i o t", "g a r d e n")) < 0.1
+    assert "idiot$" in toxicity.features(plain + "idiot")
+
+
+def test_spaced_passage_keeps_its_words():
+    model = toxic_model()
+    assert "idiot" in model.all_words(" ".join("wewentoverthehillandyouareanidiotinafinegarden"))
