@@ -13,6 +13,7 @@ empty one; only the id and the URL are read.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
@@ -64,11 +65,26 @@ def hashed(df: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, max_labelled: int = MAX_LABELLED, seed_columns: Sequence[str] = ("host", "path")):
     """A model from ``host``, ``path`` and ``label`` (1: block), or the one class as a number if there is only one."""
     rows = labelled.select("host", "path", F.col("label").cast("double").alias("label")).where("label IS NOT NULL")
-    rows = rows.orderBy(F.xxhash64(*seed_columns), *seed_columns).limit(max_labelled)
-    rows = hashed(rows).select("features", "label").persist()
-    classes = [r[0] for r in rows.groupBy("label").count().orderBy("label").collect()]
-    model = LogisticRegression(maxIter=60, regParam=1e-3).fit(rows) if len(classes) > 1 else float(classes[0]) if classes else 0.0
-    rows.unpersist()
+    rows = rows.groupBy("host", "path", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")).persist()
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")).orderBy("n", "label").collect()
+    if len(sizes) < 2:
+        rows.unpersist()
+        return float(sizes[0]["label"]) if sizes else 0.0
+    left, parts, kept = max_labelled, [], [rows]
+    for k, size in enumerate(sizes):  # the smaller class first
+        own = rows.where(F.col("label") == size["label"])
+        take = min(size["n"], left // (len(sizes) - k))
+        left -= take
+        if take < size["n"]:
+            own = own.orderBy(F.xxhash64(*seed_columns), *seed_columns).limit(take).persist()
+            kept.append(own)
+            held = own.agg(F.sum("weight")).first()[0] or 1.0
+            own = own.withColumn("weight", F.col("weight") * (size["weight"] / held))
+        parts.append(own)
+    sample = hashed(reduce(DataFrame.unionByName, parts)).select("features", "label", "weight").persist()
+    model = LogisticRegression(maxIter=60, regParam=1e-3, weightCol="weight").fit(sample)
+    for used in (*kept, sample):
+        used.unpersist()
     return model
 
 

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from millrace.llm import ctw, decontam, toxicity
+from millrace.llm import ctw, decontam, toxicity, urls
 
 
 def test_repeated_rows_score_their_rare_words_once(spark, monkeypatch):
@@ -77,3 +77,16 @@ def test_toxic_word_late_in_a_spaced_or_glued_passage():
 def test_spaced_passage_keeps_its_words():
     model = toxic_model()
     assert "idiot" in model.all_words(" ".join("wewentoverthehillandyouareanidiotinafinegarden"))
+
+
+def test_repeated_address_does_not_fill_the_sample(spark):
+    """One address with more rows than the bound, wherever it hashes; both classes are learned from and counts weigh."""
+    for name in ("a", "b", "c", "d"):
+        hot = [("hot.org", f"/{name}", 0)] * 300
+        rows = hot + [("good.org", f"/fine/{k}", 0) for k in range(40)] + [("bad.org", f"/evil/{k}", 1) for k in range(40)]
+        table = spark.createDataFrame(rows, "host string, path string, label int").coalesce(2)
+        model = urls.fit(table, max_labelled=60)
+        assert not isinstance(model, float)
+        tests = spark.createDataFrame([("good.org", "/fine/99"), ("bad.org", "/evil/99")], "host string, path string").coalesce(1)
+        got = {r["host"]: r["prediction"] for r in model.transform(urls.hashed(tests)).collect()}
+        assert got == {"good.org": 0.0, "bad.org": 1.0}
