@@ -268,11 +268,11 @@ def gram_logs(grams: DataFrame) -> DataFrame:
     return parted.join(chances, "context").select("gram", "total", sum((step(k) for k in range(1, 8)), step(0)).alias("log_p"))
 
 
-def hottest(grams: DataFrame, most: int) -> Column:
-    """A condition on ``total`` that the most frequent grams fulfil, at most so many."""
-    size = F.floor(F.log2("total") * 8)
+def hottest(counted: DataFrame, most: int, by: str = "total") -> Column:
+    """A condition on the count ``by`` that the most frequent rows fulfil, at most so many."""
+    size = F.floor(F.log2(by) * 8)
     least, held = None, 0
-    for r in grams.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # some hundred rows
+    for r in counted.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # some hundred rows
         held += r["count"]
         if held > most:
             break
@@ -340,9 +340,10 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
     words, distinct = counted.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = words + ends, distinct + (ends > 0)
     base = total + 0.5 * (kinds + 1)
-    often = counted.where(F.length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(FREQUENT)
-    top = often.toPandas()
+    short = counted.where(F.length("word") <= LONGEST)
+    top = short.where(hottest(short, FREQUENT, "n")).toPandas()  # no sort: each task would send so many rows to the driver
     table = {bytes(w): (float(np.log10((n + 0.5) / base)), 1) for w, n in zip(top["word"], top["n"])}
+    del top
     end = float(np.log10((ends + 0.5) / base))
     grams = written(gram_logs(written(gram_counts(rows))))
     hot = hottest(grams, HOT)
