@@ -35,6 +35,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def dropped(df: DataFrame | None) -> None:
+    """Remove the files behind a table of ``written`` that is no longer needed."""
+    for name in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else [])}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as bytes; a missing text is empty."""
     column = batch.column(batch.schema.get_field_index(name))

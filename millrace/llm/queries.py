@@ -7,13 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from millrace.llm import binary, ctw, decontam, licenses, minhash, packing, pii, quality, toxicity, urls
+from millrace.llm import binary, codes, counts, ctw, decontam, licenses, minhash, negatives, packing, pii, quality, toxicity, urls
 from millrace.llm.common import crc_part, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 TOKENIZER = "word_bpe_49k.json"
+COUNTED_BY = "byte_bpe_50k.json"
 # fixed values: the rules of the query on URLs
 URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -94,3 +95,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return quality.rules(load(spark, folder, "documents")).drop("lang")
+
+
+@query("op11_vector_codes", codes.sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    coded, books = codes.compress(load(spark, folder, "embeddings"))
+    code = F.concat_ws("", F.transform("code", lambda x: F.lpad(F.lower(F.hex(x)), 2, "0")))
+    found = codes.with_label_error(coded.select("vec_id", "label", code.alias("code"), "error"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
+@query("op12_hard_negatives", negatives.sql("vec_id % 100 = 0", "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END"))
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    rows = load(spark, folder, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return counts.count_tokens(load(spark, folder, "documents"), public_tokenizers.path(COUNTED_BY))
