@@ -1,124 +1,244 @@
 """Predictive power: how much a single column tells about another one.
 
-A decision tree per (feature, target) is cross-validated over four folds and compared with the best
-guess that ignores the feature. 0 means no better than that guess, 1 means perfect.
+The model of a pair (x, y) is a regression or classification tree of the one column x, grown until a
+leaf holds a single value of x: it predicts the mean (or the most frequent, least first) y of the
+training rows with the same x, and for numbers it has not seen, that of the nearest x (the lower one of
+equals). Four folds are each predicted from the other three. A score is the share of the error of the
+best guess without x that the model removes: 0 is no better than that guess, 1 is perfect.
+
+Everything follows from one grouped count of all pairs at once: how many rows of each fold have which x
+and y. What a fold is predicted from is the total less its own count, so no model is fitted and no row is
+read again. Nearest neighbours are running values over slices of the counts. The number of
+classes and of distinct values is not limited; a result has one row per pair of columns.
+
+Numbers and times are compared as double precision numbers, whole numbers above 2^53 thus by their
+nearest one. Rows where x or y is missing do not count for the pair.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.contract import DATETIMES, clean, dtype, need_batch, quoted
-from millrace.operators.encode import label_encode
-from millrace.operators.quantiles import quantiles
-from millrace.plans.profile import glimpse
+from millrace.contract import DATETIMES, clean, dtype, need_batch, need_columns
+from millrace.operators.ordered import Measure, running, slice_rows
 from millrace.session import settled
 
 FOLDS = 4
 SEED = 123
-DEPTH = 8
-BINS = 64
-SCHEMA = "x string, y string, score double, case string, metric string, baseline double, model double"
-
+#: A pair needs this many rows.
+LEAST_ROWS = 2 * FOLDS
+PAIR = ["__f", "__t"]
+LEAF = [*PAIR, "__xn", "__xt"]
 
-def _number(df: DataFrame, name: str) -> Column:
-    kind = dtype(df, name)
-    c = clean(df, name)
-    if isinstance(kind, DATETIMES):
-        return F.unix_micros(c.cast("timestamp")).cast("double")
-    return c.cast("double")
 
+def _is_number(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, *DATETIMES))
 
-def _as_numbers(df: DataFrame, name: str, out: str) -> DataFrame:
-    """Texts become the number of their value in sorted order."""
-    if isinstance(dtype(df, name), (T.StringType, T.BinaryType)):
-        coded = label_encode(df, [name], suffix="__code")
-        return coded.withColumn(out, quoted(name + "__code").cast("double")).drop(name + "__code")
-    return df.withColumn(out, _number(df, name))
 
-
-def target_case(df: DataFrame, name: str, distinct: int) -> str:
-    kind = dtype(df, name)
-    if isinstance(kind, (T.NumericType, *DATETIMES)) and distinct > 2:
-        return "regression"
-    return "classification"
+def _parts(df: DataFrame, name: str) -> tuple[Column, Column]:
+    """The column as (number, text), one of them missing."""
+    kind, c = dtype(df, name), clean(df, name)
+    if isinstance(kind, DATETIMES):
+        return F.unix_micros(c.cast("timestamp")).cast("double"), F.lit(None).cast("string")
+    if _is_number(kind):
+        return c.cast("double"), F.lit(None).cast("string")
+    return F.lit(None).cast("double"), c.cast("string")
+
+
+def _entries(df: DataFrame, names: Sequence[str], stem: str) -> Column:
+    """The known values of a row as an array of (place in ``names``, number, text)."""
+    entries = []
+    for i, name in enumerate(names):
+        number, text = _parts(df, name)
+        entries.append(F.struct(F.lit(i).alias(stem), number.alias("n"), text.alias("text")))
+    return F.filter(F.array(*entries), lambda e: e["n"].isNotNull() | e["text"].isNotNull())
+
+
+def _fold(df: DataFrame, fold_by: Sequence[str], seed: int) -> Column:
+    """0 to 3; by the columns that name a row, else at random."""
+    if not fold_by:
+        return F.pmod(F.floor(F.rand(seed) * 1_000_000), F.lit(FOLDS)).cast("int")
+    key = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in need_columns(df, fold_by)])
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 1), 16, 10).cast("int") % FOLDS
+
+
+def _cells(df: DataFrame, xs: Sequence[str], ys: Sequence[str], fold: Column) -> DataFrame:
+    """How many rows of each fold (``__n0`` to ``__n3``) have which x and y, for all pairs of different columns."""
+    same = [(i, j) for i, x in enumerate(xs) for j, y in enumerate(ys) if x == y]
+    rows = df.select(fold.alias("k"), _entries(df, xs, "f").alias("xs"), _entries(df, ys, "t").alias("ys"))
+    pairs = rows.select("k", F.explode("xs").alias("x"), "ys").select("k", "x", F.explode("ys").alias("y"))
+    if same:
+        itself = F.array(*[F.struct(F.lit(i).alias("f"), F.lit(j).alias("t")) for i, j in same])
+        pairs = pairs.where(~F.array_contains(itself, F.struct("x.f", "y.t")))
+    fields = {"__f": "x.f", "__t": "y.t", "__xn": "x.n", "__xt": "x.text", "__yn": "y.n", "__yt": "y.text"}
+    named = pairs.select("k", *[F.col(c).alias(n) for n, c in fields.items()])
+    return named.groupBy(*fields).agg(*[F.count_if(F.col("k") == k).alias(f"__n{k}") for k in range(FOLDS)])
+
+
+def _all(stem: str) -> Column:
+    return reduce(lambda a, b: a + b, (F.col(f"{stem}{k}") for k in range(FOLDS)))
+
+
+def _outside(k: int) -> Column:
+    """Rows outside a fold."""
+    return _all("__n") - F.col(f"__n{k}")
+
+
+def _guesses(cells: DataFrame, by: Sequence[str], classes: bool) -> DataFrame:
+    """What each fold's rows are told by the others: ``__p0`` to ``__p3``, missing where the others have no rows."""
+    told = []
+    for k in range(FOLDS):
+        if classes:
+            best = F.min_by("__label", F.when(_outside(k) > 0, F.struct((-_outside(k)).alias("n"), "__label")))
+        else:
+            outside = F.sum(_outside(k))
+            best = F.when(outside > 0, F.sum(F.col("__yn") * _outside(k)) / outside)
+        told.append(best.alias(f"__p{k}"))
+    return cells.groupBy(*by).agg(*told)
+
+
+def _nearest(leaves: DataFrame) -> DataFrame:
+    """Leaves of numbers whose guess is missing get that of the nearest number that has one."""
+    near = lambda side, k: F.col(f"__{side}{k}")
+    known = lambda k: F.when(F.col(f"__p{k}").isNotNull(), F.struct(F.col("__xn").alias("x"), F.col(f"__p{k}").alias("p")))
+    sliced = slice_rows(leaves, PAIR, ["__xn"])
+    for side, reverse in (("lo", False), ("hi", True)):
+        sliced = running(sliced, [Measure(f"__{side}{k}", "last", known(k), exclusive=True) for k in range(FOLDS)], reverse)
+    out = sliced.rows()
+    for k in range(FOLDS):
+        lo, hi, x = near("lo", k), near("hi", k), F.col("__xn")
+        lower = hi.isNull() | (lo.isNotNull() & (x - lo["x"] <= hi["x"] - x))
+        out = out.withColumn(f"__p{k}", F.coalesce(F.col(f"__p{k}"), F.when(lower, lo["p"]).otherwise(hi["p"])))
+    return out.select(leaves.columns)
+
+
+def _for_texts(leaves: DataFrame, totals: DataFrame, classes: bool) -> DataFrame:
+    """Leaves of texts whose guess is missing get that for all rows of the pair."""
+    names = [f"__p{k}" for k in range(FOLDS)]
+    # one row per pair
+    whole = _guesses(totals, PAIR, classes).select(*PAIR, *[F.col(p).alias(f"{p}_all") for p in names])
+    return leaves.join(F.broadcast(whole), PAIR).select(*LEAF, *[F.coalesce(p, f"{p}_all").alias(p) for p in names])
+
+
+def _told(cells: DataFrame, totals: DataFrame, classes: bool, numbers: set[bool]) -> DataFrame:
+    """Every cell with the guesses for its x; ``numbers`` says whether some features are numbers, and some not."""
+    names = [f"__p{k}" for k in range(FOLDS)]
+    met = []
+    # texts and numbers meet by an ordinary key each, so that adaptive execution can split a hot one
+    for number in numbers:
+        key = "__xn" if number else "__xt"
+        own = cells.where(F.col(key).isNotNull())
+        leaves = _guesses(own, LEAF, classes)
+        filled = _nearest(settled(leaves)) if number else _for_texts(leaves, totals, classes)
+        met.append(own.join(filled.select(*PAIR, key, *names), [*PAIR, key]).select(*cells.columns, *names))
+    return reduce(DataFrame.unionByName, met)
+
+
+def _mean_over_folds(values: list[Column]) -> Column:
+    """The mean of those that are known."""
+    known = F.filter(F.array(*values), lambda v: v.isNotNull())
+    return F.aggregate(known, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(known), F.lit(0))
+
+
+def _numbers(cells: DataFrame, totals: DataFrame, numbers: set[bool]) -> DataFrame:
+    """Mean absolute errors of the model and of the median."""
+    told = _told(cells, totals, False, numbers)
+    errors = []
+    for k in range(FOLDS):
+        rows = F.sum(F.when(F.col(f"__p{k}").isNotNull(), F.col(f"__n{k}")))
+        errors.append((F.sum(F.col(f"__n{k}") * F.abs(F.col("__yn") - F.col(f"__p{k}"))) / F.nullif(rows, F.lit(0))).alias(f"__e{k}"))
+    model = told.groupBy(*PAIR).agg(*errors).select(*PAIR, _mean_over_folds([F.col(f"__e{k}") for k in range(FOLDS)]).alias("model"))
+    counts = totals.select(*PAIR, "__yn", _all("__n").alias("__n"))
+    ranked = running(slice_rows(counts, PAIR, ["__yn"]), [Measure("__upto", "sum", F.col("__n")), Measure("__rows", "total", F.col("__n"))]).rows()
+    middle = (F.col("__rows") - 1) / 2
+    holds = lambda rank: F.max(F.when((F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto")), F.col("__yn")))
+    medians = ranked.groupBy(*PAIR).agg(((holds(F.floor(middle)) + holds(F.ceil(middle))) / 2).alias("__median"))
+    # one row per pair
+    apart = counts.join(F.broadcast(medians), PAIR).groupBy(*PAIR)
+    baseline = apart.agg((F.sum(F.col("__n") * F.abs(F.col("__yn") - F.col("__median"))) / F.sum("__n")).alias("baseline"))
+    score = F.when(F.col("baseline") > 0, F.greatest(F.lit(0.0), 1 - F.col("model") / F.col("baseline")))
+    return model.join(baseline, PAIR).select(*PAIR, score.alias("score"), F.lit("mean absolute error").alias("metric"), "baseline", "model")
+
+
+def _classes(cells: DataFrame, totals: DataFrame, numbers: set[bool]) -> DataFrame:
+    """F1 weighted by class, of the model and of the most frequent class."""
+    told = _told(cells, totals, True, numbers)
+    cases = []
+    for k in range(FOLDS):
+        rows, guess = F.col(f"__n{k}"), F.col(f"__p{k}")
+        hit = F.when(guess == F.col("__label"), rows).otherwise(0)
+        none = F.lit(0).cast("long")
+        cases.append(F.struct(F.lit(k).alias("k"), F.col("__label").alias("c"), F.when(guess.isNotNull(), rows).otherwise(0).alias("own"), none.alias("said"), hit.alias("hit")))
+        cases.append(F.struct(F.lit(k).alias("k"), guess.alias("c"), none.alias("own"), rows.alias("said"), none.alias("hit")))
+    kept = F.filter(F.array(*cases), lambda c: c["c"].isNotNull() & (c["own"] + c["said"] > 0))
+    by_class = told.select(*PAIR, F.inline(kept)).groupBy(*PAIR, "k", "c").agg(F.sum("own").alias("own"), F.sum("said").alias("said"), F.sum("hit").alias("hit"))
+    f1 = 2 * F.col("hit") / (F.col("own") + F.col("said"))
+    by_fold = by_class.groupBy(*PAIR, "k").agg((F.sum(F.col("own") * f1) / F.sum("own")).alias("f1"))
+    model = by_fold.groupBy(*PAIR).agg(F.avg("f1").alias("model"))
+    share = F.max(_all("__n")) / F.sum(_all("__n"))
+    baseline = totals.groupBy(*PAIR).agg((share * 2 * share / (1 + share)).alias("baseline"))
+    score = F.when(F.col("baseline") < 1, F.greatest(F.lit(0.0), (F.col("model") - F.col("baseline")) / (1 - F.col("baseline"))))
+    return model.join(baseline, PAIR).select(*PAIR, score.alias("score"), F.lit("weighted F1").alias("metric"), "baseline", "model")
+
+
+def scores(df: DataFrame, xs: Sequence[str], ys: Sequence[str], fold_by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
+    """One row (x, y, score, case, metric, baseline, model) for every x and y.
+
+    ``fold_by`` names columns that tell rows apart: a row's fold then depends on them alone. Without,
+    folds are drawn at random.
+    """
+    need_batch(df, "predictive power")
+    xs, ys = need_columns(df, xs), need_columns(df, ys)
+    spark = df.sparkSession
+    counted = settled(_cells(df, xs, ys, _fold(df, fold_by, seed)))
+    sums = [F.sum(f"__n{k}").alias(f"__n{k}") for k in range(FOLDS)]
+    totals = counted.groupBy(*PAIR, "__yn", "__yt").agg(*sums)
+    targets = totals.groupBy(*PAIR).agg(F.sum(_all("__n")).alias("rows"), F.count(F.lit(1)).alias("ys"), F.bool_or(F.col("__yn").isNotNull()).alias("number"))
+    features = counted.select(*LEAF).distinct().groupBy(*PAIR).agg(F.count(F.lit(1)).alias("xs"), F.bool_or(F.col("__xt").isNotNull()).alias("text"))
+    case = (
+        F.when(F.col("rows") < LEAST_ROWS, "too_few_rows")
+        .when(F.col("ys") == 1, "target_is_constant")
+        .when(F.col("text") & (F.col("xs") >= F.col("rows")), "feature_is_id")
+        .when(~F.col("number") & (F.col("ys") >= F.col("rows")), "target_is_id")
+        .when(F.col("number") & (F.col("ys") > 2), "regression")
+        .otherwise("classification")
+    )
+    # one row per pair of columns
+    cases = {(r["__f"], r["__t"]): r["case"] for r in targets.join(features, PAIR).select(*PAIR, case.alias("case")).collect()}
+    said = [(i, j, x, y, "predict_itself" if x == y else cases.get((i, j), "too_few_rows")) for i, x in enumerate(xs) for j, y in enumerate(ys)]
+    asked = spark.createDataFrame(said, "__f int, __t int, x string, y string, case string")
+    label = F.coalesce("__yt", F.col("__yn").cast("string"))
+    parts = []
+    for wanted, measure in (("regression", _numbers), ("classification", _classes)):
+        pairs = [at for at, c in cases.items() if c == wanted]
+        if pairs:
+            chosen = F.broadcast(spark.createDataFrame(pairs, "__f int, __t int"))
+            kinds = {_is_number(dtype(df, xs[i])) for i, _ in pairs}
+            parts.append(measure(*[t.join(chosen, PAIR).withColumn("__label", label) for t in (counted, totals)], kinds))
+    empty = spark.createDataFrame([], "__f int, __t int, score double, metric string, baseline double, model double")
+    found = reduce(DataFrame.unionByName, parts, empty)
+    fixed = F.when(F.col("case").isin("predict_itself", "target_is_constant"), 1.0).otherwise(0.0)
+    return asked.join(F.broadcast(found), PAIR, "left").select(
+        "x", "y", F.coalesce(F.nanvl("score", F.lit(0.0)), fixed).alias("score"), "case", "metric", "baseline", "model")
+
+
+def power_score(df: DataFrame, x: str, y: str, seed: int = SEED, fold_by: Sequence[str] = ()) -> tuple:
+    """One row (x, y, score, case, metric, baseline, model)."""
+    return tuple(scores(df, [x], [y], fold_by, seed).first())
 
 
-def power_score(df: DataFrame, x: str, y: str, seed: int = SEED, facts: dict | None = None) -> tuple:
-    """One row (x, y, score, case, metric, baseline, model)."""
-    need_batch(df, "power_score")
-    if x == y:
-        return (x, y, 1.0, "predict_itself", None, None, None)
-    rows = df.select(quoted(x), quoted(y)).where(clean(df, x).isNotNull() & clean(df, y).isNotNull())
-    if facts is None:
-        facts = {r["column"]: r["unique_count"] for r in glimpse(df.select(quoted(x), quoted(y))).collect()}
-    count = rows.count()
-    if count < FOLDS * 2:
-        return (x, y, 0.0, "too_few_rows", None, None, None)
-    if facts[y] <= 1:
-        return (x, y, 1.0, "target_is_constant", None, None, None)
-    if isinstance(dtype(df, x), T.StringType) and facts[x] >= count:
-        return (x, y, 0.0, "feature_is_id", None, None, None)
-    if isinstance(dtype(df, y), T.StringType) and facts[y] >= count:
-        return (x, y, 0.0, "target_is_id", None, None, None)
-    case = target_case(df, y, facts[y])
-    # the random folds are written once, so that every fit and every retried task sees the same split
-    coded = _as_numbers(_as_numbers(rows, x, "__x"), y, "__y").select(
-        "__x", "__y", F.pmod(F.floor(F.rand(seed) * 1_000_000), F.lit(FOLDS)).cast("int").alias("__fold")
-    )
-    data = VectorAssembler(inputCols=["__x"], outputCol="features").transform(settled(coded))
-    return _regression(data, x, y) if case == "regression" else _classification(data, x, y, facts[y])
-
-
-def _regression(data: DataFrame, x: str, y: str) -> tuple:
-    middle = quantiles(data, [], {"m": ("__y", [0.5])}).first()["m"][0]
-    baseline = data.agg(F.avg(F.abs(F.col("__y") - F.lit(middle)))).first()[0]
-    model = 0.0
-    for fold in range(FOLDS):
-        tree = DecisionTreeRegressor(labelCol="__y", maxDepth=DEPTH, maxBins=BINS, seed=SEED)
-        fitted = tree.fit(data.where(F.col("__fold") != fold))
-        found = fitted.transform(data.where(F.col("__fold") == fold))
-        model += found.agg(F.avg(F.abs(F.col("__y") - F.col("prediction")))).first()[0] / FOLDS
-    score = 0.0 if baseline == 0 else max(0.0, 1.0 - model / baseline)
-    return (x, y, score, "regression", "mean absolute error", float(baseline), float(model))
-
-
-def _classification(data: DataFrame, x: str, y: str, classes: int) -> tuple:
-    if classes > 100:
-        return (x, y, 0.0, "target_has_many_classes", None, None, None)
-    levels = {r[0]: i for i, r in enumerate(sorted(data.select("__y").distinct().collect()))}
-    mapping = F.create_map(*[F.lit(v) for pair in levels.items() for v in (float(pair[0]), float(pair[1]))])
-    data = data.withColumn("__y", mapping[F.col("__y")])
-    measure = MulticlassClassificationEvaluator(labelCol="__y", metricName="f1")
-    common = data.groupBy("__y").count().agg(F.min_by("__y", F.struct(-F.col("count"), F.col("__y")))).first()[0]
-    baseline = measure.evaluate(data.select("__y", F.lit(float(common)).alias("prediction")))
-    model = 0.0
-    for fold in range(FOLDS):
-        tree = DecisionTreeClassifier(labelCol="__y", maxDepth=DEPTH, maxBins=BINS, seed=SEED)
-        fitted = tree.fit(data.where(F.col("__fold") != fold))
-        model += measure.evaluate(fitted.transform(data.where(F.col("__fold") == fold))) / FOLDS
-    score = 0.0 if baseline >= 1 else max(0.0, (model - baseline) / (1.0 - baseline))
-    return (x, y, score, "classification", "weighted F1", float(baseline), float(model))
-
-
-def predictors(df: DataFrame, target: str, columns=None) -> DataFrame:
+def predictors(df: DataFrame, target: str, columns=None, fold_by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
     """Every column as a predictor of the target, best first."""
     names = [c for c in (columns or df.columns) if c != target]
-    facts = {r["column"]: r["unique_count"] for r in glimpse(df.select(*[quoted(n) for n in [*names, target]])).collect()}
-    scores = [power_score(df, n, target, facts=facts) for n in names]
-    scores.sort(key=lambda s: (-s[2], s[0]))
-    return df.sparkSession.createDataFrame(scores, SCHEMA)
+    return scores(df, names, [target], fold_by, seed).orderBy(F.desc("score"), "x")
 
 
-def predictive_matrix(df: DataFrame, columns=None, max_columns: int = 100) -> DataFrame:
+def predictive_matrix(df: DataFrame, columns=None, max_columns: int = 100, fold_by: Sequence[str] = (), seed: int = SEED) -> DataFrame:
     """The score of every ordered pair of columns."""
     names = list(columns or df.columns)
     if len(names) > max_columns:
         raise ValueError(f"{len(names)} columns; choose at most {max_columns}")
-    facts = {r["column"]: r["unique_count"] for r in glimpse(df.select(*[quoted(n) for n in names])).collect()}
-    scores = [power_score(df, a, b, facts=facts) for a in names for b in names]
-    return df.sparkSession.createDataFrame(scores, SCHEMA)
+    return scores(df, names, names, fold_by, seed)

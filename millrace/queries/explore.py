@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, functions as F
 
 import millrace as m
 from millrace.plans import chartdata as chart, profile, relate
-from millrace.plans.power import predictive_matrix, predictors
 from millrace.plans.recipe import Recipe, register_op, registered_op
 from millrace.queries.registry import Tables, query, rounded
 from millrace.queries.tables import _LABELLED, labelled
@@ -148,8 +147,6 @@ query("e23_correlations", lambda t: rounded(profile.correlations(t("lineitem"),
       " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a in _NUMBERS for b in _NUMBERS))
 query("e23_correlations_missing", lambda t: rounded(profile.correlations(labelled(t), ["n_chars", "quality", "toxic"])),
       " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS correlation FROM {_LABELLED}" for a in ("n_chars", "quality", "toxic") for b in ("n_chars", "quality", "toxic")))
-query("e24_predictors", lambda t: predictors(t("part").select("p_partkey", "p_size", "p_type", "p_retailprice"), "p_retailprice"))
-query("e25_predictive_matrix", lambda t: predictive_matrix(t("part").select("p_partkey", "p_retailprice")))
 query("e26_overview", lambda t: rounded(relate.overview(t("orders"))["columns"]),
       _facts("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}, valid=True))
 query("e27_over_all_times", lambda t: rounded(profile.over_all_times(m.join(t("lineitem"), t("orders"), on=[("l_orderkey", "o_orderkey")]), "l_quantity", ["sum"])["o_orderdate"], 2),

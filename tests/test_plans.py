@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 import millrace as m
 from millrace.plans import chartdata as chart, profile, relate
-from millrace.plans.power import power_score, predictive_matrix, predictors
 from millrace.plans.recipe import Recipe, register_op
 from millrace.streaming.live import resample_stream
 
@@ -83,22 +82,6 @@ def test_correlations_of_many_columns(spark):
         assert r["correlation"] == pytest.approx(want.loc[r["x"], r["y"]], abs=1e-9)
 
 
-def test_predictive_power(spark):
-    rng = np.random.default_rng(3)
-    x = rng.random(800)
-    df = spark.createDataFrame(pd.DataFrame({
-        "x": x, "square": (x - 0.5) ** 2, "noise": rng.random(800), "side": np.where(x > 0.4, "hi", "lo"), "one": 1, "name": [f"n{i}" for i in range(800)]}))
-    assert power_score(df, "x", "x")[2] == 1.0
-    assert power_score(df, "x", "square")[2] > 0.8
-    assert power_score(df, "x", "side")[2] > 0.95
-    assert power_score(df, "noise", "square")[2] < 0.1
-    assert power_score(df, "x", "one")[2:4] == (1.0, "target_is_constant")
-    assert power_score(df, "name", "x")[3] == "feature_is_id" and power_score(df, "x", "name")[3] == "target_is_id"
-    ranked = [r["x"] for r in predictors(df, "square", ["noise", "x"]).collect()]
-    assert ranked == ["x", "noise"]
-    assert predictive_matrix(df, ["one", "name"]).count() == 4
-
-
 def test_recipe_undo_limit():
     @register_op("add one")
     def add_one(df):

@@ -8,8 +8,6 @@ from check import compare, connect
 from millrace.queries import ORACLES, QUERIES
 
 FOLDER = os.environ.get("MILLRACE_DATA", "/root/testdata/sf0.001")
-# fits many small trees; checked in test_plans.py on known cases
-SLOW = {"e24_predictors", "e25_predictive_matrix"}
 
 
 @pytest.fixture(scope="module")
@@ -17,15 +15,11 @@ def con():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("key", [k for k in QUERIES if k not in SLOW])
+@pytest.mark.parametrize("key", list(QUERIES))
 def test_query(spark, con, key):
     df = QUERIES[key](spark, FOLDER)
-    if key in ORACLES:
-        assert compare(df, con, ORACLES[key]) == ""
-    else:
-        assert df.count() > 0
+    assert compare(df, con, ORACLES[key]) == ""
 
 
 def test_every_oracle_has_a_query():
-    assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == SLOW
+    assert set(ORACLES) == set(QUERIES)
