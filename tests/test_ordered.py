@@ -136,3 +136,68 @@ def test_slice_numbers_do_not_depend_on_partitions(thin_slices):
     a = {r["id"]: r["__slice"] for r in sliced.df.select("id", "__slice").collect()}
     b = {r["id"]: r["__slice"] for r in sliced.df.repartition(3, "v").select("id", "__slice").collect()}
     assert a == b and ordered.SLICE == "__slice"
+
+
+def sizes(sliced):
+    return [r["count"] for r in sliced.df.groupBy("__slice").count().collect()]
+
+
+@pytest.mark.parametrize("shared", [300, 5_000])
+def test_order_texts_with_a_long_shared_beginning_spread_without_a_checkpoint(spark, monkeypatch, shared):
+    monkeypatch.setattr(ordered, "settled", None)  # a checkpoint would fail
+    spark.conf.set("millrace.rowsPerSlice", "1000")
+    try:
+        df = spark.range(8000).select("id", F.concat(F.repeat(F.lit("x"), shared), F.format_string("%05d", F.col("id") * 7919 % 8000)).alias("text"))
+        assert max(sizes(slice_rows(df, [], ["text"]))) < 2500
+        got = number_rows(df, ["text"], "i").select("id", "i")
+        assert got.where(F.col("i") != F.col("id") * 7919 % 8000).count() == 0
+    finally:
+        spark.conf.unset("millrace.rowsPerSlice")
+
+
+def test_beginnings_shared_at_several_depths(thin_slices, monkeypatch):
+    """Runs of equal characters inside runs, next to short, missing and other texts, two text columns and a number."""
+    monkeypatch.setattr(ordered, "CUT_LENGTH", 8)
+    n = F.col("id")
+    text = (
+        F.when(n % 7 == 0, F.concat(F.repeat(F.lit("é"), 20), n.cast("string")))
+        .when(n % 7 == 1, F.concat(F.repeat(F.lit("é"), 50), F.lpad(n.cast("string"), 30, "0")))
+        .when(n % 7 == 2, F.repeat(F.lit("é"), 30)).when(n % 7 == 3, F.lit("short")).when(n % 7 == 5, F.concat(F.lit("zz"), n.cast("string")))
+    )
+    df = thin_slices.range(1400).select("id", text.alias("a"), F.concat(F.repeat(F.lit("b"), 40), n * 13 % 1400).alias("b"), (n % 9).alias("v"))
+    for order in (["a", "v", "b"], ["a", "b"]):
+        sliced = slice_rows(df, [], order)
+        assert max(sizes(sliced)) < 140, order
+        got = number_rows(df, order, "i").toPandas()
+        want = number_rows_plain(df, order).toPandas()
+        assert (got.merge(want, on="id", suffixes=("", "_w")).eval("i == i_w")).all(), order
+
+
+def test_ties_of_long_texts_are_still_split(thin_slices):
+    df = thin_slices.range(600).select("id", F.concat(F.repeat(F.lit("x"), 400), F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string"))).alias("text"))
+    assert max(sizes(slice_rows(df, [], ["text"]))) < 150
+    numbered = number_rows(df, ["text"], "i").collect()
+    assert sorted(r["i"] for r in numbered) == list(range(600))
+    assert [r["text"] for r in sorted(numbered, key=lambda r: r["i"])] == sorted(r["text"] for r in numbered)
+
+
+def test_group_keys_as_long_as_documents(thin_slices):
+    from pyspark.sql import Window
+
+    group = F.concat(F.repeat(F.lit("long "), 4000), F.when(F.col("id") % 2 == 0, "hot").otherwise((F.col("id") % 50).cast("string")))
+    df = thin_slices.range(800).select("id", group.alias("g"), (F.col("id") * 7 % 800).alias("o"), (F.col("id") % 5).alias("v"))
+    sliced = slice_rows(df, ["g"], ["o"])
+    assert max(sizes(sliced)) < 200
+    assert all(len(str(v)) < 300 for r in sliced.owners.collect() for v in r)
+    got = running(sliced, [Measure("s", "sum", F.col("v")), Measure("l", "last", F.col("v"), exclusive=True)]).rows()
+    upto = Window.partitionBy("g").orderBy("o")
+    want = df.select("id", F.sum("v").over(upto).alias("s"), F.lag("v").over(upto).alias("l"))
+    assert got.select("id", "s", "l").exceptAll(want).count() == 0
+
+
+def test_the_number_of_slices_is_a_setting(thin_slices):
+    thin_slices.conf.set("millrace.maxSlices", "3")
+    try:
+        assert len(sizes(slice_rows(thin_slices.range(600), [], ["id"]))) == 3
+    finally:
+        thin_slices.conf.unset("millrace.maxSlices")
