@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from millrace.contract import DATETIMES, FLOATS, INTEGERS, as_list, clean, dtype, missing, need_batch, quoted
+from millrace.contract import DATETIMES, FLOATS, INTEGERS, all_true, as_list, clean, dtype, missing, need_batch, quoted
 from millrace.functions.aggregates import plain
 from millrace.functions.calendar import FIXED
 from millrace.operators.binning import bin_index, equal_edges, interval_texts
@@ -15,7 +15,8 @@ from millrace.operators.grouping import attach, drop_missing_keys, group_agg
 from millrace.operators.ordered import Measure, running, slice_rows
 from millrace.operators.quantiles import column_sizes, fits_one_task, percentile, quantiles
 from millrace.operators.resample import resample
-from millrace.operators.rows import value_table
+from millrace.operators.rows import top_values, value_table
+from millrace.plans.comoments import pair_correlations
 from millrace.selectors import of_type, resolve
 
 # fixed value: up to this many distinct values a column counts as low-cardinality
@@ -185,7 +186,10 @@ def sign_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def semantic_classes(df: DataFrame, columns=None, numbers_as_categories: bool = False) -> dict[str, str]:
-    """What a column means for plotting: empty, only_nans, constant, datetime, cat2, numeric, cat10, cat300."""
+    """What a column means for plotting: empty, only_nans, constant, datetime, cat2, numeric, cat10, id, cat300.
+
+    An id has more than a few categories and no value twice.
+    """
     facts = {r["column"]: r for r in glimpse(df, columns).collect()}
     names = df.columns if columns is None else resolve(df, columns)
     result = {}
@@ -205,8 +209,11 @@ def semantic_classes(df: DataFrame, columns=None, numbers_as_categories: bool =
             result[n] = "numeric"
         elif seen <= 2:
             result[n] = "cat2"
+        elif seen <= FEW_CATEGORIES:
+            result[n] = "cat10"
         else:
-            result[n] = "cat10" if seen <= FEW_CATEGORIES else "cat300"
+            rows = round(seen * 100 / facts[n]["unique_percent"])
+            result[n] = "id" if seen >= rows - facts[n]["missing_count"] else "cat300"
     return result
 
 
@@ -450,27 +457,44 @@ def box_stats(df: DataFrame, num: str, cat: str | None = None, total: bool = Tru
 _BOX = ("count", "min", "lower_whisker", "q1", "median", "q3", "upper_whisker", "max", "mean", "std", "outliers")
 
 
-def crosstab(df: DataFrame, x: str, y: str, normalize: str | None = None, max_columns: int = 1000) -> DataFrame:
-    """Rows per pair of categories, pairs that never occur included; optionally shares.
+def _in_top(counts: DataFrame, df: DataFrame, col: str, side: str, k: int | None) -> DataFrame:
+    """Categories outside the ``k`` most frequent become a missing value with ``<side>_other`` set."""
+    if k is None:
+        return counts
+    top = top_values(df, col, k).select(quoted(col).alias("__top"))
+    marked = counts.join(F.broadcast(top), F.col(side) == F.col("__top"), "left")  # k rows
+    return marked.withColumn(side, F.col("__top")).withColumn(f"{side}_other", F.col("__top").isNull()).drop("__top")
+
 
-    ``normalize`` is "x" (share within x), "y" or "all". The y categories are listed on the driver,
-    so there is a limit on their number.
+def crosstab(df: DataFrame, x: str, y: str, normalize: str | None = None, zeros: bool = False, top_x: int | None = None, top_y: int | None = None) -> DataFrame:
+    """Rows per pair of categories that occurs; optionally shares.
+
+    ``normalize`` is "x" (share within x), "y" or "all". ``top_x`` and ``top_y`` keep so many of the most
+    frequent categories (equal counts in value order) and sum the others up in a row of their own, whose
+    category is missing and whose ``x_other`` or ``y_other`` is true. ``zeros`` adds the pairs that never
+    occur, which can be many.
     """
     need_batch(df, "crosstab")
-    rows = df.where(~missing(df, x) & ~missing(df, y)).select(quoted(x).alias("x"), quoted(y).alias("y"))
-    counts = rows.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
-    ys = [r[0] for r in counts.select("y").distinct().limit(max_columns + 1).collect()]
-    if len(ys) > max_columns:
-        raise ValueError(f"{y!r} has more than {max_columns} categories; raise max_columns to allow it")
-    listed = F.array(*[F.lit(v) for v in ys]).cast(T.ArrayType(dtype(df, y))) if ys else F.array().cast(T.ArrayType(dtype(df, y)))
-    grid = counts.select(F.col("x").alias("__x")).distinct().select("__x", F.explode(listed).alias("__y"))
-    full = grid.join(counts, (F.col("__x") == F.col("x")) & (F.col("__y") == F.col("y")), "left")
-    full = full.select(F.col("__x").alias("x"), F.col("__y").alias("y"), F.coalesce("n", F.lit(0)).alias("count"))
+    named = df.where(~missing(df, x) & ~missing(df, y)).select(quoted(x).alias("x"), quoted(y).alias("y"))
+    counts = named.groupBy("x", "y").agg(F.count(F.lit(1)).alias("count"))
+    counts = _in_top(_in_top(counts, named, "x", "x", top_x), named, "y", "y", top_y)
+    left = ["x"] + ["x_other"] * (top_x is not None)
+    right = ["y"] + ["y_other"] * (top_y is not None)
+    if top_x is not None or top_y is not None:
+        counts = counts.groupBy(*left, *right).agg(F.sum("count").alias("count"))
+    if zeros:
+        # as many rows as asked for; one side of them as a list
+        listed = counts.select(F.struct(*right).alias("__r")).distinct().agg(F.collect_list("__r").alias("__r"))
+        grid = counts.select(*left).distinct().withColumn("__r", F.explode(listed.scalar())).select(*left, "__r.*")
+        names = [*left, *right]
+        grid = grid.withColumnsRenamed({c: f"__g_{c}" for c in names})
+        met = grid.join(counts, all_true([F.col(f"__g_{c}").eqNullSafe(F.col(c)) for c in names]), "left")
+        counts = met.select(*[F.col(f"__g_{c}").alias(c) for c in names], F.coalesce("count", F.lit(0)).alias("count"))
     if normalize is None:
-        return full
-    keys = {"x": ["x"], "y": ["y"], "all": []}[normalize]
-    whole = with_total(full, keys, "count", "__all")
-    return whole.select("x", "y", "count", (F.col("count") / F.col("__all")).alias("share"))
+        return counts.select(*left, *right, "count")
+    keys = {"x": left, "y": right, "all": []}[normalize]
+    whole = with_total(counts, keys, "count", "__all")
+    return whole.select(*left, *right, "count", (F.col("count") / F.col("__all")).alias("share"))
 
 
 def unique_table(df: DataFrame, x: str, y: str, bins: int | None = None) -> DataFrame:
@@ -518,11 +542,8 @@ def correlations(df: DataFrame, columns=None, max_columns: int = 100) -> DataFra
         )
         half = one.select(entry.alias("e")).select("e.*")
     else:
-        # many columns: a row per pair, combined on the map side
-        entry = F.explode(
-            F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), value[a].alias("a"), value[b].alias("b")) for a, b in pairs])
-        )
-        half = df.select(entry.alias("e")).groupBy("e.x", "e.y").agg(_pearson(F.col("e.a"), F.col("e.b")).alias("r"))
+        # many columns: matrices of co-moments, merged
+        half = pair_correlations(df, names)
     r = F.when(~F.isnan("r"), F.col("r"))
     both = half.select(
         F.explode(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, functions as F
 
-from millrace.operators.rows import keep_top_values, sample_rows
+from millrace.operators.rows import keep_top_values, sample_rows, top_values, value_table
 from millrace.plans import profile
 
 FACTS = ("empty", "only_nans", "constant", "id")
@@ -12,12 +14,27 @@ CATEGORIES = ("cat2", "cat10", "cat300")
 TOP_CATEGORIES = 20
 
 
-def _few(df: DataFrame, col: str, kind: str) -> DataFrame:
-    return keep_top_values(df, col, TOP_CATEGORIES) if kind == "cat300" else df
+def _few(df: DataFrame, col: str, kind: str, top: int) -> DataFrame:
+    return keep_top_values(df, col, top) if kind == "cat300" else df
+
+
+def _left_out(df: DataFrame, columns: list[str], top: int) -> dict[str, DataFrame]:
+    """How many categories and rows the other tables leave out, per column with more than ``top``."""
+    parts = []
+    for c in columns:
+        counts = value_table(df, c)
+        kept = top_values(df, c, top).agg(F.count(F.lit(1)).alias("k"), F.coalesce(F.sum("count"), F.lit(0)).alias("n"))
+        whole = counts.agg(F.count(F.lit(1)).alias("categories"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
+        parts.append(whole.select(F.lit(c).alias("column"), (F.col("categories") - kept.select("k").scalar()).alias("categories"), (F.col("rows") - kept.select("n").scalar()).alias("rows")))
+    return {"left_out": reduce(DataFrame.unionByName, parts)} if parts else {}
+
 
+def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_category: bool = False, top: int = TOP_CATEGORIES) -> dict[str, DataFrame]:
+    """The tables that describe how y depends on x, chosen by what both columns mean.
 
-def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_category: bool = False) -> dict[str, DataFrame]:
-    """The tables that describe how y depends on x, chosen by what both columns mean."""
+    Of a column with many categories the ``top`` most frequent are shown one by one; ``left_out`` says how
+    many categories and rows the others are, and ``counts`` sums them up in rows of their own.
+    """
     if x == y:
         return {"summary": profile.column_summary(df, [x])}
     kinds = profile.semantic_classes(df, [x, y])
@@ -39,14 +56,15 @@ def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_cate
             "predictive_density": profile.density_2d(df, x, y, normalize="x"),
             "scatter": sample_rows(df.select(x, y)),
         }
+    many = [n for n in (x, y) if kinds[n] == "cat300"]
     if a == "numeric":
-        few = _few(df, y, b)
-        return {"shares": profile.bin_category_table(few, x, y), "histogram": profile.histogram(few, x, by=y)}
+        few = _few(df, y, b, top)
+        return {"shares": profile.bin_category_table(few, x, y), "histogram": profile.histogram(few, x, by=y), **_left_out(df, many, top)}
     if b == "numeric":
-        few = _few(df, x, a)
-        return {"boxes": profile.box_stats(few, y, x), "histogram": profile.histogram(few, y, by=x)}
-    few = _few(_few(df, x, a), y, b)
-    return {"counts": profile.crosstab(few, x, y, normalize="x"), "unique": profile.unique_table(few, x, y)}
+        few = _few(df, x, a, top)
+        return {"boxes": profile.box_stats(few, y, x), "histogram": profile.histogram(few, y, by=x), **_left_out(df, many, top)}
+    counts = profile.crosstab(df, x, y, normalize="x", top_x=top if a == "cat300" else None, top_y=top if b == "cat300" else None)
+    return {"counts": counts, "unique": profile.unique_table(_few(df, x, a, top), x, y), **_left_out(df, many, top)}
 
 
 def overview(df: DataFrame) -> dict[str, DataFrame]:

@@ -67,6 +67,10 @@ def _classes(t: Tables) -> DataFrame:
 
 query("e08_semantic_class", _classes, """SELECT * FROM (VALUES ('o_orderkey', 'numeric'), ('o_custkey', 'numeric'), ('o_orderstatus', 'cat10'), ('o_totalprice', 'numeric'),
       ('o_orderdate', 'datetime'), ('o_orderpriority', 'cat10'), ('one', 'constant'), ('void', 'only_nans')) v("column", class)""")
+query("e08_semantic_class_id", lambda t: t.spark.createDataFrame(list(profile.semantic_classes(t("customer")).items()), "column string, class string"),
+      """SELECT 'c_name' AS "column", CASE WHEN count(DISTINCT c_name) = count(c_name) THEN 'id' ELSE 'cat300' END AS class FROM customer
+         UNION ALL SELECT 'c_mktsegment', CASE WHEN count(DISTINCT c_mktsegment) <= 2 THEN 'cat2' WHEN count(DISTINCT c_mktsegment) <= 20 THEN 'cat10' END FROM customer
+         UNION ALL SELECT unnest(['c_custkey', 'c_nationkey', 'c_acctbal']), 'numeric'""")
 _HIST = """WITH r AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem), b AS (SELECT least(floor((l_quantity - lo) / 2.5), 19) AS bin FROM lineitem, r), g AS (SELECT unnest(range(20)) AS bin)"""
 query("e09_histogram", lambda t: profile.histogram(t("lineitem"), "l_quantity"),
       f"""{_HIST} SELECT CAST(g.bin AS INTEGER) AS bin, lo + g.bin * 2.5 AS bin_start, lo + g.bin * 2.5 + 2.5 AS bin_end, (SELECT count(*) FROM b WHERE b.bin = g.bin) AS "count" FROM g, r""")
@@ -123,11 +127,17 @@ def _box_sql(group: str, total: str) -> str:
 
 query("e18_box_stats", lambda t: rounded(profile.box_stats(t("orders"), "o_totalprice", "o_orderpriority"), 4),
       _box_sql("o_orderpriority", "false") + " UNION ALL BY NAME " + _box_sql("", "true"))
-query("e19_crosstab", lambda t: rounded(profile.crosstab(t("documents"), "source", "lang", normalize="x")),
+query("e19_crosstab", lambda t: rounded(profile.crosstab(t("documents"), "source", "lang", normalize="x", zeros=True)),
       """SELECT a.source AS x, b.lang AS y, count(d.doc_id) AS "count", round(count(d.doc_id) / sum(count(d.doc_id)) OVER (PARTITION BY a.source), 6) AS share
          FROM (SELECT DISTINCT source FROM documents) a CROSS JOIN (SELECT DISTINCT lang FROM documents) b LEFT JOIN documents d ON d.source = a.source AND d.lang = b.lang GROUP BY a.source, b.lang""")
 query("e19_crosstab_counts", lambda t: profile.crosstab(t("orders"), "o_orderstatus", "o_orderpriority"),
       """SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS "count" FROM orders GROUP BY ALL""")
+query("e19_crosstab_sparse", lambda t: rounded(profile.crosstab(t("lineitem"), "l_partkey", "l_suppkey", normalize="y")),
+      """SELECT l_partkey AS x, l_suppkey AS y, count(*) AS "count", round(count(*) / sum(count(*)) OVER (PARTITION BY l_suppkey), 6) AS share FROM lineitem GROUP BY l_partkey, l_suppkey""")
+query("e19_crosstab_others", lambda t: rounded(profile.crosstab(t("orders"), "o_custkey", "o_orderpriority", normalize="all", top_x=7, top_y=3)),
+      """WITH a AS (SELECT o_custkey AS k FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 7), b AS (SELECT o_orderpriority AS k FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3)
+         SELECT a.k AS x, a.k IS NULL AS x_other, b.k AS y, b.k IS NULL AS y_other, count(*) AS "count", round(count(*) / sum(count(*)) OVER (), 6) AS share
+         FROM orders LEFT JOIN a ON o_custkey = a.k LEFT JOIN b ON o_orderpriority = b.k GROUP BY a.k, b.k""")
 query("e20_unique_table", lambda t: profile.unique_table(t("lineitem"), "l_suppkey", "l_partkey"),
       """SELECT l_suppkey AS x, count(*) AS "count", count(DISTINCT l_partkey) AS unique_count FROM lineitem GROUP BY l_suppkey""")
 query("e20_drill", lambda t: relate.drill(t("lineitem"), "l_suppkey", 7), "SELECT * FROM lineitem WHERE l_suppkey = 7")
@@ -135,6 +145,11 @@ query("e20_unique_table_binned", lambda t: profile.unique_table(t("orders"), "o_
       """WITH r AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) SELECT count(*) AS "count", count(DISTINCT o_custkey) AS unique_count FROM orders, r GROUP BY least(floor((o_totalprice - lo) / ((hi - lo) / 4)), 3)""")
 query("e21_relate_categories", lambda t: rounded(relate.relate(t("orders"), "o_orderstatus", "o_orderpriority")["counts"]),
       """SELECT o_orderstatus AS x, o_orderpriority AS y, count(*) AS "count", round(count(*) / sum(count(*)) OVER (PARTITION BY o_orderstatus), 6) AS share FROM orders GROUP BY o_orderstatus, o_orderpriority""")
+query("e21_relate_id", lambda t: relate.relate(t("customer"), "c_name", "c_mktsegment")["unique"],
+      """SELECT c_name AS x, count(*) AS "count", count(DISTINCT c_mktsegment) AS unique_count FROM customer GROUP BY c_name""")
+query("e21_relate_left_out", lambda t: relate.relate(t("events"), "props", "event_type")["left_out"],
+      """SELECT 'props' AS "column", count(*) - 20 AS categories, CAST(sum(n) - (SELECT sum(n) FROM (SELECT count(*) AS n FROM events GROUP BY props ORDER BY n DESC, props LIMIT 20)) AS BIGINT) AS "rows"
+         FROM (SELECT props, count(*) AS n FROM events GROUP BY props)""")
 query("e21_relate_time_and_number", lambda t: rounded(relate.relate(t("events"), "ts", "value")["over_time"]),
       "SELECT date_trunc('day', ts) AS ts, round(avg(value), 6) AS value_mean FROM events GROUP BY 1")
 query("e21_relate_many_categories", lambda t: relate.relate(t("events"), "props", "event_type")["unique"],
@@ -147,6 +162,10 @@ query("e23_correlations", lambda t: rounded(profile.correlations(t("lineitem"),
       " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS correlation FROM lineitem" for a in _NUMBERS for b in _NUMBERS))
 query("e23_correlations_missing", lambda t: rounded(profile.correlations(labelled(t), ["n_chars", "quality", "toxic"])),
       " UNION ALL ".join(f"SELECT '{a}' AS x, '{b}' AS y, round(corr({a}, {b}), 6) AS correlation FROM {_LABELLED}" for a in ("n_chars", "quality", "toxic") for b in ("n_chars", "quality", "toxic")))
+_WIDE = range(40)
+query("e23_correlations_wide", lambda t: rounded(profile.correlations(t("embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in _WIDE], F.col("label").alias("e40")))),
+      """WITH v AS (SELECT vec_id, 'e' || i AS name, CASE WHEN i < 40 THEN CAST(embedding[i + 1] AS DOUBLE) ELSE label END AS v FROM embeddings, range(41) r(i))
+         SELECT a.name AS x, b.name AS y, round(corr(a.v, b.v), 6) AS correlation FROM v a JOIN v b USING (vec_id) GROUP BY ALL""")
 query("e26_overview", lambda t: rounded(relate.overview(t("orders"))["columns"]),
       _facts("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}, valid=True))
 query("e27_over_all_times", lambda t: rounded(profile.over_all_times(m.join(t("lineitem"), t("orders"), on=[("l_orderkey", "o_orderkey")]), "l_quantity", ["sum"])["o_orderdate"], 2),

@@ -51,12 +51,13 @@ def test_semantic_classes(spark):
 @pytest.mark.parametrize("x,y,keys", [
     ("n", "m", {"density", "predictive_density", "scatter"}), ("n", "ten", {"shares", "histogram"}), ("ten", "n", {"boxes", "histogram"}),
     ("ten", "two", {"counts", "unique"}), ("t", "n", {"over_time"}), ("ten", "t", {"over_time"}), ("c", "n", {"unique", "summary"}), ("n", "n", {"summary"}),
-    ("many", "n", {"boxes", "histogram"}),
+    ("many", "n", {"boxes", "histogram", "left_out"}), ("many", "two", {"counts", "unique", "left_out"}), ("name", "two", {"unique", "summary"}), ("n", "name", {"unique", "summary"}),
 ])
 def test_relate_picks_tables(spark, x, y, keys):
     df = spark.range(200).select(
         F.col("id").alias("n"), (F.col("id") * 3 % 17).alias("m"), F.lit("k").alias("c"), F.concat(F.lit("x"), F.col("id") % 9).alias("ten"),
         F.concat(F.lit("x"), F.col("id") % 40).alias("many"), F.concat(F.lit("y"), F.col("id") % 2).alias("two"), F.timestamp_seconds(F.col("id") * 50_000).alias("t"),
+        F.when(F.col("id") % 5 > 0, F.concat(F.lit("k"), "id")).alias("name"),
     )
     tables = relate.relate(df, x, y)
     assert set(tables) == keys
@@ -82,6 +83,43 @@ def test_correlations_of_many_columns(spark):
         assert r["correlation"] == pytest.approx(want.loc[r["x"], r["y"]], abs=1e-9)
 
 
+def test_co_moments_of_awkward_columns(spark):
+    """Large offsets, constants, missing values, infinities and many small batches, against pandas."""
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame(rng.normal(size=(300, 9)) * 1e-3, columns=[f"c{i}" for i in range(9)])
+    pdf["c1"] += 1e4  # ten million times its spread
+    pdf["c2"] = 0.1
+    pdf["c4"] = pdf["c1"] * 2 + pdf["c3"]
+    pdf.loc[pdf.index % 3 == 0, "c5"] = np.nan
+    pdf["c6"] = np.nan
+    pdf["c9"] = np.where(pdf.index % 3 == 0, pdf.index, 0.1)  # constant wherever c5 is known
+    pdf["c8"] = pdf["c8"].where(pdf.index != 7, np.inf).where(pdf.index != 8, np.nan)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(pdf).repartition(5)
+        got = {(r["x"], r["y"]): r["correlation"] for r in profile.correlations(df).collect()}
+        plan = profile.pair_correlations(df, df.columns)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    alive = [c for c in pdf.columns if c not in ("c2", "c6", "c8")]
+    assert set(got) == {(a, b) for a in alive for b in alive}
+    want = pdf[alive].corr()
+    for (a, b), r in got.items():
+        if {a, b} == {"c5", "c9"}:
+            assert r is None
+        else:
+            assert r == pytest.approx(want.loc[a, b], abs=1e-7), (a, b)
+    assert "Generate" not in plan[plan.index("MapInArrow"):plan.index("Scan")]
+
+
+def test_sparse_cross_table_of_many_categories(spark):
+    df = spark.range(100_000).select(F.col("id").alias("x"), F.concat(F.lit("y"), F.col("id") * 7919 % 100_000).alias("y"))
+    assert profile.crosstab(df, "x", "y").count() == 100_000
+    few = profile.crosstab(df.limit(5), "x", "y", zeros=True, top_y=2)
+    assert few.count() == 15 and few.agg(F.sum("count")).first()[0] == 5
+    assert profile.crosstab(df.limit(0), "x", "y", "all", zeros=True, top_x=3).collect() == []
+
+
 def test_recipe_undo_limit():
     @register_op("add one")
     def add_one(df):
