@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import decimal
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -24,6 +26,48 @@ def place(df: DataFrame, order_by: Sequence[str]) -> Column:
     return F.struct(*[x for c in order_by for x in (missing(df, c), clean(df, c))])
 
 
+#: Lowest value and number of values of the types whose positions fit into one decimal; times are those of the years 1 to 9999.
+_RANGES = {
+    T.BooleanType: (0, 2), T.ByteType: (-(1 << 7), 1 << 8), T.ShortType: (-(1 << 15), 1 << 16), T.IntegerType: (-(1 << 31), 1 << 32), T.DateType: (-(1 << 31), 1 << 32),
+    T.LongType: (-(1 << 63), 1 << 64), T.TimestampType: (-62_135_596_800_000_000, 315_537_897_600_000_000), T.TimestampNTZType: (-62_135_596_800_000_000, 315_537_897_600_000_000),
+}
+
+
+def packed_place(df: DataFrame, order_by: Sequence[str]) -> Column | None:
+    """``place`` as one number of fixed width, which keeps an aggregate from sorting; None where the keys do not fit."""
+    ranges = [_RANGES.get(type(dtype(df, c))) for c in order_by]
+    if None in ranges or math.prod(n + 1 for _, n in ranges) >= 10**38:
+        return None
+    packed = F.lit(0).cast("decimal(38,0)")
+    for c, (lowest, n) in zip(order_by, ranges):
+        kind, whole = dtype(df, c), quoted(c)
+        if isinstance(kind, T.DateType):
+            whole = F.unix_date(whole)
+        elif isinstance(kind, DATETIMES):
+            whole = F.unix_micros(whole.cast("timestamp"))
+        elif isinstance(kind, T.BooleanType):
+            whole = whole.cast("int")
+        number = lambda x: F.lit(decimal.Decimal(x)).cast("decimal(38,0)")
+        place_of = F.coalesce(whole.cast("decimal(38,0)") - number(lowest), number(n))
+        packed = (packed * number(n + 1) + place_of).cast("decimal(38,0)")
+    return packed
+
+
+def _pick(df: DataFrame, c: Column, kind: T.DataType, order: Sequence[str], first: bool) -> Column:
+    """The first or last known value, rows without a key last; with buffers of fixed width where the types allow it."""
+    pick = F.min_by if first else F.max_by
+    narrow = (T.NumericType, T.BooleanType, *DATETIMES)
+    if not isinstance(kind, narrow):
+        return pick(c, F.when(c.isNotNull(), place(df, order)))
+    if len(order) == 1 and isinstance(dtype(df, order[0]), narrow):
+        known = pick(c, F.when(c.isNotNull(), clean(df, order[0])))
+        # rows without a key are equal in order
+        rest = (F.min if first else F.max)(F.when(missing(df, order[0]), c))
+        return F.coalesce(known, rest) if first else F.coalesce(rest, known)
+    packed = packed_place(df, order)
+    return pick(c, F.when(c.isNotNull(), place(df, order) if packed is None else packed))
+
+
 def reversed_key(c: Column, kind: T.DataType) -> Column:
     """A value that sorts the other way round."""
     if isinstance(kind, T.NumericType):
@@ -92,8 +136,7 @@ def plain(
         return F.coalesce(F.bool_or(truth(c, kind)), F.lit(False))
     order = need_order(df, order_by, fn)
     if fn in ("first", "last"):
-        at = F.when(c.isNotNull(), place(df, order))
-        return F.min_by(c, at) if fn == "first" else F.max_by(c, at)
+        return _pick(df, c, kind, order, fn == "first")
     if fn in ("idxmax", "idxmin"):
         if label is None:
             raise ValueError(f"{fn} returns a row label: pass label=<column>")
