@@ -37,11 +37,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
         def one(batch):
             doc, piece, start, length, crc = [], [], [], [], []
+            end = np.array([end_id], encode.dtype).tobytes()
             for i, text in zip(batch.column(0).to_pylist(), strings(batch)):
-                ids = np.append(np.frombuffer(encode(text), encode.dtype).astype("<u4"), np.uint32(end_id))
+                ids = np.frombuffer(encode(text) + end, encode.dtype).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a : a + capacity]
-                    doc.append(i), piece.append(k), start.append(a), length.append(len(part)), crc.append(zlib.crc32(part.tobytes()))
+                    doc.append(i), piece.append(k), start.append(a), length.append(len(part)), crc.append(zlib.crc32(part))
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((doc, piece, start, length, crc), kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
@@ -58,8 +59,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     made = 0
     far = np.iinfo(np.int64).max
     for k, size in enumerate(map(int, lengths)):
-        # half the change of the sum, up to a constant, for each gap the piece could go to
-        change = np.where(count[size:] > 0, count[: capacity + 1 - size] - count[size:] + 1, far)
+        # the change of the sum for each gap the piece could go to; a filled sequence adds no gap
+        change = np.where(count[size:] > 0, 2 * (count[: capacity + 1 - size] - count[size:] + 1), far)
         if change[0] != far:
             change[0] -= 1
         gap = int(change.argmin()) + size

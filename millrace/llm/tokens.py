@@ -16,11 +16,13 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
 
-# fixed values: letters and digits up to U+017F after lower-casing, in the tokenizer's splitting pattern
+# fixed values: letters and digits up to U+017F after lower-casing, and the tokenizer's splitting pattern over them
 LETTERS = "a-zªµºß-öø-ÿĀ-ſ"
 NUMBERS = "0-9²³¹¼-¾"
 PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\\s{LETTERS}{NUMBERS}]+")
@@ -29,18 +31,25 @@ ODD = re.compile("[\\x1c-\\x1f]")
 SPECIAL = "<|"
 
 
-class Pieces(dict):
-    """Piece to its ids as bytes. Emptied when full, so a worker's memory is bounded."""
+class Table(dict):
+    """Text to its ids as bytes, worked out when first asked for.
 
-    def __init__(self, encode, dtype, limit: int = 400_000, longest: int = 64):
-        self.encode, self.dtype, self.limit, self.longest = encode, dtype, limit, longest
+    Two generations bound a worker's memory: a full table becomes the older one, and what is still asked
+    for moves over, so frequent texts are never worked out anew.
+    """
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encode(piece, add_special_tokens=False).ids, self.dtype).tobytes()
-        if len(piece) <= self.longest:
+    def __init__(self, work_out, limit: int = 300_000, longest: int = 64):
+        self.work_out, self.limit, self.longest, self.older = work_out, limit, longest, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.older.get(text)
+        if ids is None:
+            ids = self.work_out(text)
+        if len(text) <= self.longest:
             if len(self) >= self.limit:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
@@ -53,12 +62,19 @@ class Encoder:
 
         self.tokenizer, self.exact = Tokenizer.from_file(path), exact
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.pieces = Pieces(self.tokenizer.encode, self.dtype)
+        self.letter = "H" if self.dtype.itemsize == 2 else "I"
+        self.pieces = Table(self.whole)
+
+    def whole(self, text: str) -> bytes:
+        ids = array(self.letter, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __call__(self, text: str) -> bytes:
         """The ids of a whole text."""
         if self.exact or ODD.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+            return self.whole(text)
         if SPECIAL not in text and PLAIN.fullmatch(text):
             return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text.lower())))
         return b"".join(map(self.pieces.__getitem__, text.split()))

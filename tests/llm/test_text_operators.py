@@ -13,7 +13,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from millrace.llm import binary, ctw, decontam, licenses, minhash, packing, pii, quality, toxicity, urls
+from millrace.llm import binary, ctw, decontam, licenses, minhash, packing, pii, quality, tokens, toxicity, urls
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = "the quick brown fox jumps over the lazy dog and runs on " * 400
@@ -52,6 +52,41 @@ def test_packing(docs):
         assert one.offset.tolist() == [0, *np.cumsum(one.length)[:-1]] and one.length.sum() <= 64
 
 
+def test_placement_equals_sums_of_squares_worked_out_whole():
+    """Each piece where the sum of squared counts of open gaps becomes smallest, the smallest gap winning ties."""
+    random.seed(6)
+    for _ in range(300):
+        capacity = random.choice([12, 20, 31])
+        lengths = sorted((random.randrange(1, capacity + 1) for _ in range(60)), reverse=True)
+        gaps, want = [], []
+        for size in lengths:
+            open_gaps = sorted({g for g in gaps if g >= size})
+
+            def after(gap):
+                left = [g for g in gaps if g]
+                left.remove(gap)
+                left += [gap - size] * (gap > size)
+                return sum(left.count(g) ** 2 for g in set(left)), gap
+
+            if open_gaps:
+                _, gap = min(map(after, open_gaps))
+                gaps[gaps.index(gap)] -= size
+            else:
+                gap = capacity
+                gaps.append(capacity - size)
+            want.append(capacity - gap)
+        _, offset = packing.sum_of_squares(np.array(lengths), capacity)
+        assert offset.tolist() == want, lengths
+
+
+def test_tables_of_two_generations_keep_their_results():
+    encode = tokens.Encoder(PATH)
+    encode.pieces.limit = 7
+    text = " ".join(f"word{k % 23} other{k % 5}, it's {k}" for k in range(300))
+    assert np.frombuffer(encode(text), encode.dtype).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert len(encode.pieces) <= 7 and len(encode.pieces.older) <= 7
+
+
 def test_sum_of_squares_is_tight():
     draw = np.random.default_rng(1)
     lengths = np.sort(draw.integers(1, 2049, 3000))[::-1]
