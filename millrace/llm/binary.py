@@ -26,16 +26,12 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from millrace.llm.common import over_batches, shared_folder, strings
+from millrace.llm.common import over_batches, place, shared_folder, strings
 from millrace.llm.tokens import encoder
 
 MANIFEST = "part int, stem string, n_docs bigint, n_ids bigint, id_bytes int"
 
 
-def place(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode the documents into files below ``folder`` and return the manifest."""
     spark = docs.sparkSession

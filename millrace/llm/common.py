@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -35,13 +37,39 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def folder_of(df: DataFrame) -> str | None:
+    """The folder behind a table of ``written``; None if it has no files."""
+    files = df.inputFiles()
+    return files[0].rsplit("/", 1)[0] if files else None
+
+
 def dropped(df: DataFrame | None) -> None:
     """Remove the files behind a table of ``written`` that is no longer needed."""
-    for name in {f.rsplit("/", 1)[0] for f in (df.inputFiles() if df is not None else [])}:
+    name = folder_of(df) if df is not None else None
+    if name:
         path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def place(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or address, and the path on it."""
+    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
+
+
+def stored(folder: str) -> Iterator[pq.ParquetFile]:
+    """The Parquet files of a shared folder, opened one after the other inside a task."""
+    files, path = place(folder)
+    for found in sorted(files.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
+        if found.path.endswith(".parquet"):
+            with files.open_input_file(found.path) as source:
+                yield pq.ParquetFile(source)
+
+
+def read_table(folder: str) -> pa.Table:
+    """A table of bounded size from a shared folder, inside a task."""
+    return pa.concat_tables([f.read() for f in stored(folder)])
+
+
 def utf8(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The texts of a batch as bytes; a missing text is empty."""
     column = batch.column(batch.schema.get_field_index(name))

@@ -18,12 +18,13 @@ gives an empty one. Only id and text are read.
 from __future__ import annotations
 
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import over_batches, utf8, written
+from millrace.llm.common import folder_of, read_table, utf8, written
 
 DEPTH = 4
 #: Grams whose log probabilities go to every task, the most frequent ones; the rest are joined.
@@ -257,7 +258,8 @@ def gram_logs(grams: DataFrame) -> DataFrame:
             continue
         before = down.select(F.col("key").alias("parent"), F.col("one").alias("one_before"), F.col("left").alias("left_before"))
         met = table.join(before, above(d - 1) == F.col("parent"))
-        down = met.select("key", (F.col("one_before") + F.col("left_before") * share).alias("one"), (F.col("left_before") * (1 - F.col("mix"))).alias("left"))
+        # written level by level: each plan holds one join
+        down = written(met.select("key", (F.col("one_before") + F.col("left_before") * share).alias("one"), (F.col("left_before") * (1 - F.col("mix"))).alias("left")))
     chances = down.groupBy(F.shiftrightunsigned("key", 8).alias("context")).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("key").bitwiseAND(255).cast("int").alias("node"), "one"))).alias("ones"))
 
@@ -305,8 +307,27 @@ class Known:
         return np.add.reduceat(logs[inverse], begin), pa.ListArray.from_arrays(offsets, grams), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))
 
 
+@lru_cache(2)
+def hot_grams(folder: str | None) -> Known:
+    """The hottest grams, read once per worker process; none where nothing was written."""
+    if folder is None:
+        return Known(np.empty(0, np.int64), np.empty(0))
+    found = read_table(folder)
+    return Known(found.column("gram").to_numpy(), found.column("log_p").to_numpy())
+
+
 # ---- words ----
 
+@lru_cache(2)
+def frequent_words(folder: str | None, base: float) -> dict[bytes, tuple[float, int]]:
+    """The frequent words with their log probability, read once per worker process."""
+    if folder is None:
+        return {}
+    found = read_table(folder)
+    logs = np.log10((found.column("n").to_numpy() + 0.5) / base)
+    return dict(zip(found.column("word").to_pylist(), zip(logs.tolist(), [1] * len(logs))))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """``word`` and ``n`` over all rows; a task passes on sums, not single words."""
 
@@ -341,19 +362,16 @@ def score(docs: DataFrame, trained_on: Column, id_col: str = "doc_id", text_col:
     total, kinds = words + ends, distinct + (ends > 0)
     base = total + 0.5 * (kinds + 1)
     short = counted.where(F.length("word") <= LONGEST)
-    top = short.where(hottest(short, FREQUENT, "n")).toPandas()  # no sort: each task would send so many rows to the driver
-    table = {bytes(w): (float(np.log10((n + 0.5) / base)), 1) for w, n in zip(top["word"], top["n"])}
-    del top
+    # no sort and no collect: tasks read the tables from the shared folder
+    frequent = folder_of(written(short.where(hottest(short, FREQUENT, "n"))))
     end = float(np.log10((ends + 0.5) / base))
     grams = written(gram_logs(written(gram_counts(rows))))
     hot = hottest(grams, HOT)
-    near = grams.where(hot).select("gram", "log_p").toPandas()
-    model = docs.sparkSession.sparkContext.broadcast((near["gram"].to_numpy(), near["log_p"].to_numpy(), table))
+    near_by = folder_of(written(grams.where(hot).select("gram", "log_p")))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        *logs_of_grams, known = model.value
-        near = Known(*logs_of_grams)
+        near, known = hot_grams(near_by), frequent_words(frequent, float(base))
         for batch in batches:
             for a in range(0, batch.num_rows, 500):
                 part = batch.slice(a, 500)

@@ -31,13 +31,10 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.binary import place
 from millrace.llm.codes import finite, floors, narrow
-from millrace.llm.common import dropped, written
+from millrace.llm.common import dropped, folder_of, stored, written
 
 SCALE, POSITIVES, NEGATIVES = 256, 5, 5
 #: A negative scores from so many hundredths of the positive up to all of them.
@@ -134,15 +131,12 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Vectors]:
         yield Vectors.joined(held)
 
 
-def stored(folder: str) -> Iterator[tuple[pa.Table, int]]:
-    """The rows of a Parquet folder, one block at a time."""
-    files, path = place(folder)
-    for found in sorted(files.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
-        if found.path.endswith(".parquet"):
-            with files.open_input_file(found.path) as source:
-                for batch in pq.ParquetFile(source).iter_batches(batch_size=1):
-                    for row in range(batch.num_rows):
-                        yield batch, row
+def blocks_in(folder: str) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """The rows of a stored table, one block at a time."""
+    for file in stored(folder):
+        for batch in file.iter_batches(batch_size=1):
+            for row in range(batch.num_rows):
+                yield batch, row
 
 
 def within(anchors: Vectors, rows: Vectors, least: np.ndarray, most: np.ndarray, apart: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -266,12 +260,12 @@ def hard_negatives(df: DataFrame, anchors: Column, scale: int = SCALE, positives
     asked = written(rows.where(anchors).dropDuplicates(["vec_id", "label", "vector"]).withColumn("number", F.monotonically_increasing_id()))
     first = written(blocks_of(asked, ANCHORS, scale))
     up, down = least // gcd(least, whole), whole // gcd(least, whole)
-    folder = first.inputFiles()[0].rsplit("/", 1)[0] if first.count() else None
+    folder = folder_of(first) if first.count() else None
     schema = "number bigint, score bigint, vec_id bigint"
 
     def nearest(batches):
         for some in chunks(batches):
-            for batch, row in stored(folder):
+            for batch, row in blocks_in(folder):
                 few = best_of_label(vectors_of(batch, row), some, positives)
                 numbers = batch.column("number")[row].values.to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(numbers[few.anchor]), pa.array(few.score), pa.array(few.id)], ["number", "score", "vec_id"])
@@ -289,14 +283,13 @@ def hard_negatives(df: DataFrame, anchors: Column, scale: int = SCALE, positives
     picked = picked.select("number", F.transform("best", lambda x: x["vec_id"]).alias("positive_id"), F.transform("best", lambda x: -x["below"]).alias("positive_score"))
     second = written(blocks_of(asked.join(picked, "number"), ANCHORS, scale))
     dropped(first)
-    files = second.inputFiles()
     if not second.count():
         return spark.createDataFrame([], empty)
-    windows = files[0].rsplit("/", 1)[0]
+    windows = folder_of(second)
 
     def hard(batches):
         for some in chunks(batches):
-            for batch, row in stored(windows):
+            for batch, row in blocks_in(windows):
                 own = vectors_of(batch, row)
                 lists = batch.column("positive_score")[row].values
                 owner = np.repeat(np.arange(len(own.ids)), np.diff(lists.offsets.to_numpy()))
