@@ -47,8 +47,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1,
         out = None
         for batch in batches:
             out = out or files.open_output_stream(f"{own}.bin")
-            for i, text in zip(batch.column(0).to_pylist(), strings(batch)):
-                found = encode(text) + end
+            for i, found in zip(batch.column(0).to_pylist(), encode.many(strings(batch))):
+                found += end
                 out.write(found)
                 ids.append(i), lengths.append(len(found) // encode.dtype.itemsize)
         if out is None:

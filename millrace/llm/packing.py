@@ -38,8 +38,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         def one(batch):
             doc, piece, start, length, crc = [], [], [], [], []
             end = np.array([end_id], encode.dtype).tobytes()
-            for i, text in zip(batch.column(0).to_pylist(), strings(batch)):
-                ids = np.frombuffer(encode(text) + end, encode.dtype).astype("<u4")
+            for i, found in zip(batch.column(0).to_pylist(), encode.many(strings(batch))):
+                ids = np.frombuffer(found + end, encode.dtype).astype("<u4")
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a : a + capacity]
                     doc.append(i), piece.append(k), start.append(a), length.append(len(part)), crc.append(zlib.crc32(part))

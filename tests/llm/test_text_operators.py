@@ -84,6 +84,8 @@ def test_tables_of_two_generations_keep_their_results():
     encode.pieces.limit = 7
     text = " ".join(f"word{k % 23} other{k % 5}, it's {k}" for k in range(300))
     assert np.frombuffer(encode(text), encode.dtype).tolist() == Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    texts = [text, "", "é ß İ x\x1cy <|endoftext|> ok", "x" * 200, text[::-1]]
+    assert list(encode.many(texts, 50)) == [encode(t) for t in texts] == list(encode.many(texts))
     assert len(encode.pieces) <= 7 and len(encode.pieces.older) <= 7
 
 
