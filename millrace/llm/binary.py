@@ -92,7 +92,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
             for stem, n_docs, width, base in zip(*(c.to_pylist() for c in batch.columns)):
                 index, ids = mapped(folder, f"{stem}.idx", "<i8"), mapped(folder, f"{stem}.bin", f"<u{width}")
                 doc, at = index[:n_docs], index[n_docs:]
-                crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+                crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
                 out.append(pa.RecordBatch.from_arrays([pa.array(np.array(doc)), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"]))
             return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 

@@ -95,7 +95,7 @@ class Encoder:
 
     def held(self, texts: list) -> Iterator[bytes]:
         ids = self.pieces.__getitem__
-        new = set().union(*(found for plain, found in texts if plain)) - self.pieces.keys()
+        new = set().union(*(found for plain, found in texts if plain)).difference(self.pieces)
         for piece in sorted(new):
             ids(piece)
         for plain, found in texts:
