@@ -29,6 +29,7 @@ from millrace.operators.rows import (
     top_values,
 )
 from millrace.operators.sets import concat_columns, concat_rows, drop_duplicates
+from millrace.operators.states import column_states, merge_states, state_facts
 from millrace.operators.values import replace_value, set_values
 from millrace.operators.windows import cumulative_product, cumulative_sum, pct_change
 from millrace.selectors import all_columns, cols, containing, ending_with, matching, of_type, starting_with

@@ -16,6 +16,10 @@ from millrace.selectors import resolve
 
 HOT_KEY = "millrace.hotKeyRows"
 HOT_ROWS = 1_000_000
+# values whose counts a summary keeps: at first, and the most that Spark allows
+TRACKED = 65_536
+MOST_TRACKED = 1_000_000
+MERGED_BY = 256
 
 
 def common_keys(left: DataFrame, right: DataFrame) -> list[str]:
@@ -28,10 +32,46 @@ def key_pairs(on) -> list[tuple[str, str]]:
     return [(i, i) if isinstance(i, str) else (i[0], i[1]) for i in items]
 
 
+def _heaviest(hashes: DataFrame, tracked: int, limit: int) -> tuple[int, int, int]:
+    """Rows, rows of the most frequent value as summaries count them, and by how much that may be too low.
+
+    Each task counts at most ``tracked`` values and forgets the rarest; the summaries of the tasks are
+    merged in groups, and the counts of what is frequent in a group are added up. So summaries are
+    shuffled, and never the rows.
+    """
+    small = limit // (10 * MERGED_BY)
+    parts = hashes.groupBy((F.spark_partition_id() % MERGED_BY).alias("part")).agg(
+        F.expr(f"approx_top_k(__h, {tracked}, {tracked})").alias("top"), F.count(F.lit(1)).alias("n")
+    )
+    kept = F.filter("top", lambda x: x["count"] > small)
+    # an entry without a value carries the rows of its group
+    entries = parts.select(F.explode(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("item"), F.col("n").alias("count"))), kept)).alias("x"))
+    sums = entries.groupBy("x.item").agg(F.sum("x.count").alias("n"))
+    rows, top = sums.agg(F.sum(F.when(F.col("item").isNull(), F.col("n"))), F.max(F.when(F.col("item").isNotNull(), F.col("n")))).first()
+    rows = rows or 0
+    return rows, top or 0, MERGED_BY * small + (6 * rows // tracked if rows > tracked else 0)
+
+
 def has_hot_key(df: DataFrame, keys: Sequence[str]) -> bool:
-    """Whether one key has too many rows to be read by a single task."""
+    """Whether one key has too many rows to be read by a single task.
+
+    Summaries of frequent items tell, and never miss such a key; of the keys a little below the limit
+    (a tenth for small tables, a fifth for large ones) they may take one for hot, which costs the split
+    form of the join and changes no result. Only where the finest summary is too coarse are the rows of
+    all keys counted.
+    """
     limit = int(df.sparkSession.conf.get(HOT_KEY, str(HOT_ROWS)))
-    counts = df.groupBy(*[quoted(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+    hashes = df.select(F.xxhash64(*[clean(df, k) for k in keys]).alias("__h"))
+    tracked = TRACKED
+    while True:
+        rows, top, missed = _heaviest(hashes, tracked, limit)
+        if rows <= limit or 5 * missed <= limit:
+            return rows > limit and top + missed > limit
+        finer = 60 * rows // max(limit, 1) + 1
+        if finer <= tracked or finer > MOST_TRACKED:
+            break
+        tracked = finer
+    counts = hashes.groupBy("__h").agg(F.count(F.lit(1)).alias("n"))
     return (counts.agg(F.max("n")).first()[0] or 0) > limit
 
 

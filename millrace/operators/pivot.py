@@ -6,10 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from millrace.contract import common_type, dtype, need_batch, need_columns, quoted
+from millrace.contract import clean, common_type, dtype, need_batch, need_columns, quoted
 from millrace.functions.aggregates import PLAIN, plain
 from millrace.operators.grouping import drop_missing_keys, group_agg, stacked
 from millrace.operators.missing import drop_missing_columns
+from millrace.operators.states import quantile_of, quantile_state
 from millrace.selectors import resolve
 
 MAX_COLUMNS = 1000
@@ -37,8 +38,13 @@ def pivot_table(
     max_columns: int = MAX_COLUMNS,
     order_by: Sequence[str] | None = None,
     label: str | None = None,
+    accuracy: int | None = None,
 ) -> DataFrame:
-    """Rows x columns table of one aggregate. Margins are computed from the rows, not from cells."""
+    """Rows x columns table of one aggregate. Margins are computed from the rows, not from cells.
+
+    ``accuracy`` switches medians to sketches, off by about a share 1 / ``accuracy`` of the rows; one
+    aggregate then serves cells and margins, whose sketches are merged from those of the cells.
+    """
     need_batch(df, "pivot_table")
     rows, cols = resolve(df, rows), resolve(df, cols)
     if not rows:
@@ -62,15 +68,21 @@ def pivot_table(
         total_row = [F.lit(margins_name)] + [F.lit("")] * (len(rows) - 1)
         levels = [(True, True), (True, False), (False, True), (False, False)] if cols else [(True, True), (False, True)]
         parts = []
-        if agg in PLAIN:
+        sketched = agg == "median" and accuracy is not None
+        if agg in PLAIN or sketched:
             sets = [
                 ([quoted(m) for m in marks] if by_row else []) + ([F.col("__head")] if by_col else [])
                 for by_row, by_col in levels
             ]
+            if sketched:
+                states = tagged.groupBy(*[quoted(m) for m in marks], "__head").agg(quantile_state(clean(df, value), accuracy).alias("__s"))
+                tagged, cell = states, quantile_of(F.kll_merge_agg_double("__s"), 0.5)
+            else:
+                cell = plain(df, value, agg, order_by, label)
             cube = tagged.groupingSets(sets, *[quoted(m) for m in marks], F.col("__head")).agg(
                 F.grouping(marks[0]).alias("__gr"),
                 F.grouping("__head").alias("__gc"),
-                plain(df, value, agg, order_by, label).alias("__v"),
+                cell.alias("__v"),
             )
             parts.append(
                 cube.select(
@@ -93,7 +105,7 @@ def pivot_table(
         long = stacked(parts)
     else:
         marks, headings = rows, heads
-        long = group_agg(tagged, marks + ["__head"], {"__v": (value, agg)}, order_by, label)
+        long = group_agg(tagged, marks + ["__head"], {"__v": (value, agg)}, order_by, label, accuracy=accuracy)
     wide = long.groupBy(*[quoted(m) for m in marks]).pivot("__head", headings).agg(F.first("__v"))
     wide = wide.toDF(*rows, *headings)
     if not keep_all_null_columns:

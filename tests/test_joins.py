@@ -69,3 +69,25 @@ def test_right_column_choices(sides):
         m.join(sl, sr, "nope")
     with pytest.raises(ValueError, match="unknown join"):
         m.join(sl, sr, "k", how="semi")
+
+
+@pytest.mark.parametrize("tracked", [(65_536, 1_000_000), (64, 1_000_000), (64, 64)])
+def test_hot_keys_by_a_summary(spark, monkeypatch, tracked):
+    """The same answer by the first summary, a finer one and by counting, and no key column shuffled."""
+    from pyspark.sql import functions as F
+
+    from millrace.operators import joins
+
+    monkeypatch.setattr(joins, "TRACKED", tracked[0])
+    monkeypatch.setattr(joins, "MOST_TRACKED", tracked[1])
+    n = F.col("id")
+    # a thousand rows of one key over five thousand other keys; missing keys are one key
+    table = spark.range(0, 10_000, 1, 8).select(F.when(n % 10 == 0, 7.5).when(n % 10 == 1, F.lit(None)).when(n % 10 == 2, F.lit("nan").cast("double")).otherwise(n % 5000 + 10_000.0).alias("k"), (n % 3).alias("j"))
+    spark.conf.set("millrace.hotKeyRows", "1500")
+    try:
+        assert joins.has_hot_key(table, ["k"])
+        assert not joins.has_hot_key(table, ["k", "j"])
+        assert not joins.has_hot_key(table.where("k IS NOT NULL AND NOT isnan(k)"), ["k"])
+        assert not joins.has_hot_key(table.limit(0), ["k"])
+    finally:
+        spark.conf.unset("millrace.hotKeyRows")
