@@ -37,6 +37,7 @@ from millrace.session import local_session, pin
 from millrace.sources.readers import (
     list_catalogs, list_databases, list_tables, load, read_csv, read_parquet, read_table, register_source,
 )
+from millrace.sources.ranged import parquet_ranges, ranged_source, read_parquet_range
 from millrace.sources.sinks import register, write_csv, write_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

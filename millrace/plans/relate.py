@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from millrace.operators.rows import keep_top_values, sample_rows, top_values, value_table
 from millrace.plans import profile
+from millrace.plans.power import predictive_matrix
 
 FACTS = ("empty", "only_nans", "constant", "id")
 CATEGORIES = ("cat2", "cat10", "cat300")
@@ -67,11 +69,15 @@ def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_cate
     return {"counts": counts, "unique": profile.unique_table(_few(df, x, a, top), x, y), **_left_out(df, many, top)}
 
 
-def overview(df: DataFrame) -> dict[str, DataFrame]:
-    """Column facts and correlations of the whole table."""
+def overview(df: DataFrame, fold_by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """Column facts, predictor patterns (how well each column tells each other one) and correlations of the whole table.
+
+    ``fold_by`` names the columns that a row's fold depends on when patterns are scored; without it folds are random.
+    """
     return {
         "glimpse": profile.glimpse(df),
         "columns": profile.column_summary(df),
+        "patterns": predictive_matrix(df, max_columns=len(df.columns), fold_by=fold_by),
         "correlations": profile.correlations(df),
     }
 

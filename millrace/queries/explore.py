@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, functions as F
 import millrace as m
 from millrace.plans import chartdata as chart, profile, relate
 from millrace.plans.recipe import Recipe, register_op, registered_op
-from millrace.queries.registry import Tables, query, rounded
+from millrace.queries.power import ORDER_KINDS, compared_scores, power_matrix_sql
+from millrace.queries.registry import Tables, query, rounded, scratch
 from millrace.queries.tables import _LABELLED, labelled
+from millrace.sources.ranged import parquet_ranges, ranged_source, read_parquet_range
 
 # --- one column ----------------------------------------------------------------------------------
 
@@ -31,6 +33,20 @@ _LABEL = {"doc_id": "bigint", "lang": "string", "source": "string", "n_chars": "
 
 query("e01_glimpse", lambda t: rounded(profile.glimpse(t("lineitem"))), _facts("lineitem", _LINE))
 query("e01_glimpse_texts", lambda t: rounded(profile.glimpse(t("documents"))), _facts("documents", _DOCS))
+
+
+def _stored_states(t: Tables) -> DataFrame:
+    """States of parts, written, read and merged, against the exact facts."""
+    folder = scratch(t.spark)
+    m.column_states(t("lineitem").withColumn("part", F.col("l_returnflag")), list(_LINE), by=["part"]).write.parquet(folder)
+    told = m.state_facts(m.merge_states(t.spark.read.parquet(folder)))
+    exact = profile.glimpse(t("lineitem")).select("column", F.col("unique_count").alias("exact"))
+    near = F.abs(F.col("unique_count") - F.col("exact")) <= 0.04 * F.col("exact") + 1
+    return told.join(exact, "column").select("column", "dtype", "rows", "missing_count", F.col("exact").alias("unique_count"), near.alias("near"))
+
+
+query("e01_glimpse_states", _stored_states,
+      " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{kind}' AS dtype, count(*) AS \"rows\", count(*) - count({c}) AS missing_count, count(DISTINCT {c}) AS unique_count, true AS near FROM lineitem" for c, kind in _LINE.items()))
 query("e01_glimpse_sketch", lambda t: profile.glimpse(labelled(t), exact=False).select("position", "column", "dtype", "missing_count"),
       " UNION ALL ".join(f"SELECT {i} AS position, '{c}' AS \"column\", '{k}' AS dtype, count(*) - count({c}) AS missing_count FROM {_LABELLED}" for i, (c, k) in enumerate(_LABEL.items(), 1)))
 query("e02_column_summary", lambda t: rounded(profile.column_summary(labelled(t))), _facts(_LABELLED, _LABEL, valid=True))
@@ -168,6 +184,8 @@ query("e23_correlations_wide", lambda t: rounded(profile.correlations(t("embeddi
          SELECT a.name AS x, b.name AS y, round(corr(a.v, b.v), 6) AS correlation FROM v a JOIN v b USING (vec_id) GROUP BY ALL""")
 query("e26_overview", lambda t: rounded(relate.overview(t("orders"))["columns"]),
       _facts("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}, valid=True))
+query("e26_overview_patterns", lambda t: compared_scores(relate.overview(t("orders"), fold_by=["o_orderkey"])["patterns"]), power_matrix_sql("orders", ORDER_KINDS, ["o_orderkey"]))
+query("e26_overview_glimpse", lambda t: rounded(relate.overview(t("orders"))["glimpse"]), _facts("orders", {"o_orderkey": "bigint", "o_custkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp", "o_orderpriority": "string"}))
 query("e27_over_all_times", lambda t: rounded(profile.over_all_times(m.join(t("lineitem"), t("orders"), on=[("l_orderkey", "o_orderkey")]), "l_quantity", ["sum"])["o_orderdate"], 2),
       "SELECT CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS o_orderdate, round(sum(l_quantity), 2) AS l_quantity_sum FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
 
@@ -246,6 +264,14 @@ def _line_items(spark, folder: str) -> DataFrame:
 
 query("z02_registered_operator", lambda t: t("lineitem").select("l_orderkey", "l_extendedprice", "l_discount").transform(registered_op("net price")),
       "SELECT l_orderkey, l_extendedprice, l_discount, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
+ranged_source("line items by ranges", "l_orderkey bigint, l_linenumber int, l_extendedprice double, l_returnflag string", parquet_ranges, read_parquet_range)
+
+
+def _by_ranges(t: Tables) -> DataFrame:
+    return m.load("line items by ranges", t.spark, path=f"{t.folder}/lineitem.parquet", columns="l_orderkey,l_linenumber,l_extendedprice,l_returnflag", bytes_per_range=1 << 20)
+
+
+query("z03_ranged_source", _by_ranges, "SELECT l_orderkey, l_linenumber, l_extendedprice, l_returnflag FROM lineitem")
 query("z03_registered_source", lambda t: m.load("line items of a folder", t.spark, folder=t.folder).select("l_orderkey", "l_tax"), "SELECT l_orderkey, l_tax FROM lineitem")
 
 

@@ -116,6 +116,24 @@ for _name, _formula, _sql_head, _heads in (
               lambda t, f=_formula, g=_margins: m.pivot_table(m.with_formula(t("lineitem"), "head", f), "l_returnflag", "head", "l_quantity", "sum", margins=g),
               f"WITH t AS (SELECT *, {_sql_head} AS head FROM lineitem) SELECT l_returnflag, {_cell}{_all} FROM t GROUP BY l_returnflag"
               + (f" UNION ALL SELECT 'All', {_cell}{_all} FROM t" if _margins else ""))
+
+
+def _sketched_medians(t: Tables) -> DataFrame:
+    """Whether the sketched median of each cell and margin lies within one hundredth of the middle of its rows."""
+    wide = m.pivot_table(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "median", margins=True, accuracy=200)
+    cells = wide.unpivot(["o_orderstatus"], [c for c in wide.columns if c != "o_orderstatus"], "o_orderpriority", "median")
+    either = [F.explode(F.array(F.col(c), F.lit("All"))).alias(c) for c in ("o_orderstatus", "o_orderpriority")]
+    rows = t("orders").select("o_totalprice", either[0], "o_orderpriority").select("o_totalprice", "o_orderstatus", either[1])
+    x, median = F.col("o_totalprice"), F.col("median")
+    counted = rows.join(cells, ["o_orderstatus", "o_orderpriority"]).groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(x < median).alias("under"), F.count_if(x <= median).alias("upto")
+    )
+    return counted.select("o_orderstatus", "o_orderpriority", "n", ((F.col("under") <= 0.51 * F.col("n")) & (F.col("upto") >= 0.49 * F.col("n"))).alias("near"))
+
+
+query("a27_pivot_margins_sketched", _sketched_medians,
+      """SELECT coalesce(o_orderstatus, 'All') AS o_orderstatus, coalesce(o_orderpriority, 'All') AS o_orderpriority, count(*) AS n, true AS near
+         FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""")
 query("a27_pivot_margins", lambda t: rounded(m.pivot_table(t("orders"), "o_orderstatus", "o_orderpriority", "o_totalprice", "mean", margins=True)),
       f"""SELECT o_orderstatus, {_cells('round(avg(o_totalprice) @, 6)')}, round(avg(o_totalprice), 6) AS "All" FROM orders GROUP BY o_orderstatus
           UNION ALL SELECT 'All', {_cells('round(avg(o_totalprice) @, 6)')}, round(avg(o_totalprice), 6) FROM orders""")

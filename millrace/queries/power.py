@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from millrace.plans.power import predictive_matrix, predictors
 from millrace.queries.registry import query
 
-_ORDER = {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "t", "o_totalprice": "n", "o_orderdate": "ts", "o_orderpriority": "t"}
+ORDER_KINDS = {"o_orderkey": "n", "o_custkey": "n", "o_orderstatus": "t", "o_totalprice": "n", "o_orderdate": "ts", "o_orderpriority": "t"}
 _LINE = {"l_partkey": "n", "l_linenumber": "n", "l_quantity": "n", "l_extendedprice": "n", "l_discount": "n", "l_returnflag": "t", "l_linestatus": "t", "l_shipdate": "ts"}
 
 
@@ -78,7 +78,7 @@ def _compared(scores: str) -> str:
     return f'SELECT x, y, round(score, 6) AS score, "case", metric, round(model / baseline, 6) AS ratio FROM ({scores})'
 
 
-def _rounded(df):
+def compared_scores(df):
     return df.select("x", "y", F.round("score", 6).alias("score"), "case", "metric", F.round(F.col("model") / F.col("baseline"), 6).alias("ratio"))
 
 
@@ -86,7 +86,11 @@ def _itself(names) -> str:
     return "".join(f" UNION ALL SELECT '{n}', '{n}', 1, 'predict_itself', NULL, NULL" for n in names)
 
 
+def power_matrix_sql(table: str, kinds: dict[str, str], key: list[str]) -> str:
+    return _compared(power_sql(table, kinds, list(kinds), key)) + _itself(kinds)
+
+
 _LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey"]
-query("e24_predictors", lambda t: _rounded(predictors(t("lineitem"), "l_extendedprice", list(_LINE), fold_by=_LINE_KEY)), _compared(power_sql("lineitem", _LINE, ["l_extendedprice"], _LINE_KEY)))
-query("e24_predictors_of_class", lambda t: _rounded(predictors(t("lineitem"), "l_returnflag", list(_LINE), fold_by=_LINE_KEY)), _compared(power_sql("lineitem", _LINE, ["l_returnflag"], _LINE_KEY)))
-query("e25_predictive_matrix", lambda t: _rounded(predictive_matrix(t("orders"), fold_by=["o_orderkey"])), _compared(power_sql("orders", _ORDER, list(_ORDER), ["o_orderkey"])) + _itself(_ORDER))
+query("e24_predictors", lambda t: compared_scores(predictors(t("lineitem"), "l_extendedprice", list(_LINE), fold_by=_LINE_KEY)), _compared(power_sql("lineitem", _LINE, ["l_extendedprice"], _LINE_KEY)))
+query("e24_predictors_of_class", lambda t: compared_scores(predictors(t("lineitem"), "l_returnflag", list(_LINE), fold_by=_LINE_KEY)), _compared(power_sql("lineitem", _LINE, ["l_returnflag"], _LINE_KEY)))
+query("e25_predictive_matrix", lambda t: compared_scores(predictive_matrix(t("orders"), fold_by=["o_orderkey"])), power_matrix_sql("orders", ORDER_KINDS, ["o_orderkey"]))

@@ -20,6 +20,9 @@ def _csv_round_trip(t: Tables) -> DataFrame:
     return back.select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_acctbal", "c_mktsegment")
 
 
+_LISTED = ("region", "nation", "customer")
+
+
 def _named(t: Tables, table: str) -> str:
     name = f"millrace_{table}"
     m.register(t(table), name)
@@ -39,10 +42,17 @@ def _catalog_round_trip(t: Tables) -> DataFrame:
 
 
 def _listed(t: Tables) -> DataFrame:
-    for table in ("region", "nation", "customer"):
+    """The rows of every table that the list names, beside the catalog and the database that the lists name."""
+    for table in _LISTED:
         _named(t, table)
-    listed = m.list_tables(t.spark).where(F.col("tableName").isin("millrace_region", "millrace_nation", "millrace_customer"))
-    return listed.select(F.col("tableName").alias("table_name"), "isTemporary").withColumnRenamed("isTemporary", "temporary")
+    listed = m.list_tables(t.spark).where(F.col("tableName").isin([f"millrace_{n}" for n in _LISTED])).select("tableName", "isTemporary").collect()
+    catalogs = m.list_catalogs(t.spark).where("catalog = 'spark_catalog'").select("catalog")
+    databases = m.list_databases(t.spark, "spark_catalog").where("namespace = 'default'").select("namespace")
+    counts = [
+        m.read_table(t.spark, name).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), F.lit(temporary).alias("temporary"), "rows")
+        for name, temporary in listed
+    ]
+    return m.concat_rows(*counts).select(catalogs.scalar().alias("catalog"), databases.scalar().alias("database"), "table_name", "temporary", "rows")
 
 
 query(
@@ -77,7 +87,7 @@ query(
 )
 query(
     "s05_list_tables", _listed,
-    "SELECT * FROM (VALUES ('millrace_customer', true), ('millrace_nation', true), ('millrace_region', true)) v(table_name, temporary)",
+    " UNION ALL ".join(f"SELECT 'spark_catalog' AS catalog, 'default' AS database, 'millrace_{n}' AS table_name, true AS temporary, count(*) AS \"rows\" FROM {n}" for n in _LISTED),
 )
 query(
     "s06_repeat_rows",
