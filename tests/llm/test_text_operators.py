@@ -236,6 +236,31 @@ def test_url_rules(spark):
     assert got == {1: ("a.example.org", "/es/1", "example.org/es/"), 2: ("x.org", "/es/", "org/"), 3: ("x.org", "", None), 4: ("", "", None), 5: ("", "", None), 6: ("b", "", None)}
 
 
+def labelled_texts(spark):
+    random.seed(6)
+    plain = ["this is fine and good text", "we went over the hill", "reading books in the garden", "that was a nice day for them", "the class will pass over there", "sit here with us"]
+    bad = ["idiot", "shit", "ass"]
+    rows = [(i, " ".join(random.sample(plain, 2)) + (f" you {bad[i // 4 % 3]}" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    return rows, "doc_id long, text string, toxic int"
+
+
+def test_disguises(spark):
+    rows, schema = labelled_texts(spark)
+    model = toxicity.fit(spark.createDataFrame(rows, schema))
+    hidden = ["you $hit", "you !diot", "you i  d  i  o  t", "you\ni\nd\ni\no\nt\n", "you a s s", "you (1d10t)", "as$", "t h e a s s h e r e", "you s.h.i.t", "you i-d-i-o-t!", "1d10t", "sh!t", "a $ $"]
+    clean = ["a b c", "we went (over) the hill!", "it is as he was", "$100 for 1 2 3 books", "the class will pass", "w e w e n t o v e r", "+the $garden !books"]
+    found = {t: model.score(t) >= toxicity.THRESHOLD for t in hidden + clean}
+    assert found == {**dict.fromkeys(hidden, True), **dict.fromkeys(clean, False)}
+
+
+def test_an_id_counts_once_in_the_sample(spark):
+    rows, schema = labelled_texts(spark)
+    once = spark.createDataFrame(rows, schema)
+    often = spark.createDataFrame(rows + [rows[0]] * 3000 + [(rows[1][0], "zzz", 1)], schema)
+    a, b = toxicity.fit(once, max_train=200), toxicity.fit(often, max_train=200)
+    assert a.weights == b.weights and a.weights and np.allclose(a.layer, b.layer)
+
+
 def test_toxicity(spark):
     random.seed(6)
     plain = ["this is fine and good text", "we went over the hill", "reading books in the garden", "that was a nice day for them"]
