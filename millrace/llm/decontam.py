@@ -14,21 +14,28 @@ piece more than they may have edits, so that one piece is left whole, and a piec
 no such item is missed. The first steps of a walk never leave a window of as many words, so
 one walk serves windows of all sizes. Candidates are verified by the exact edit distance.
 
-The benchmark is read in blocks of bounded size, each sent to all tasks; documents are never shuffled. A
-missing or empty text holds nothing, an item without words is held by nothing; repeated documents and
-items give a row for each pair. An empty table on either side gives an empty result. Of the documents
-only the id and the text are read.
+Items of the same words are one class, looked for once. Classes are written to the shared folder in blocks
+of bounded size; tasks read them from there, block after block for a run of documents, so the documents
+are scanned once and never shuffled, and nothing of the benchmark passes through the driver. Candidates
+are worked off in runs of bounded size, however long a text and however many items share a passage.
+
+A missing or empty text holds nothing, an item without words is held by nothing; repeated documents and
+items, also under one id or none, give a row for each pair. An empty table on either side gives an empty
+result. Of the documents ``find`` reads only the id and the text; ``keep_clean`` judges each row by its
+own text and keeps all its columns.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from millrace.llm.common import over_batches, utf8
+from millrace.llm.common import ascii_lower, read_table, shared_folder, utf8, written
 from millrace.llm.minhash import mixed, word_codes
 
 RATIO = 0.2
@@ -38,8 +45,11 @@ SHORT, PIECE = 32, 5
 #: Steps of a walk by the words an item has at least.
 STEPS = (16, 8, 4, 2, 1)
 SEED = 7_919
-BLOCK_BYTES = 8 << 20
-FOUND = "item_id bigint, distance int, item_words int, start_word int, end_word int"
+#: Bytes of items in a block, and of documents that go through the blocks together.
+BLOCK_BYTES, RUN_BYTES = 8 << 20, 32 << 20
+#: Windows looked up together, and candidates held before they are verified.
+RUN_STARTS, RUN_CANDIDATES = 1 << 17, 1 << 20
+FOUND = "class_id bigint, distance int, item_words int, start_word int, end_word int"
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + PUNCTUATION, bytes(range(97, 123)) + b" " * len(PUNCTUATION))
@@ -103,6 +113,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]], ratio: float = RATIO):
         self.ids = [i for i, _ in items]
         self.words = [word_sequence(x) for _, x in items]
+        self.lists = [w.tolist() for w in self.words]
         self.tiers, self.pieces = {}, {}
         if not any(map(len, self.words)):
             return
@@ -120,18 +131,19 @@ class Index:
             self.pieces[length] = table(piece_keys(joined, begin[item] + anchor, length), item, anchor)
 
     def candidates(self, sequence: np.ndarray, starts: np.ndarray):
-        """(place, item, anchor) arrays of all key matches; ``sequence`` is padded."""
+        """(place, item, anchor) arrays of all key matches, a bounded number at a time; ``sequence`` is padded."""
         both = [x for steps, tables in self.tiers.items() for x in zip(embedded(sequence, starts, steps), tables)]
         both += [(piece_keys(sequence, starts, length), known) for length, known in self.pieces.items()]
-        out = []
         for keys, (seen, known, item, anchor) in both:
             maybe = np.flatnonzero(seen[(keys >> np.uint64(44)).astype(np.int64)])
             low = np.searchsorted(known, keys[maybe], "left")
             n = np.searchsorted(known, keys[maybe], "right") - low
-            hit = np.repeat(np.arange(len(maybe)), n)
-            entry = np.repeat(low, n) + np.arange(len(hit)) - np.repeat(np.cumsum(n) - n, n)
-            out.append(np.column_stack([starts[maybe[hit]], item[entry], anchor[entry]]))
-        return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+            maybe, low, n = maybe[n > 0], low[n > 0], n[n > 0]
+            run = np.cumsum(n) // RUN_CANDIDATES
+            for part in np.split(np.arange(len(n)), np.flatnonzero(np.diff(run)) + 1):
+                hit = np.repeat(part, n[part])
+                entry = np.repeat(low[part], n[part]) + np.arange(len(hit)) - np.repeat(np.cumsum(n[part]) - n[part], n[part])
+                yield np.column_stack([starts[maybe[hit]], item[entry], anchor[entry]])
 
 
 def best_end(item: list[int], window: list[int]) -> tuple[int, int]:
@@ -178,49 +190,116 @@ def held(texts: list[bytes], index: Index, ratio: float):
     joined = np.concatenate([p for s in sequences for p in (s, pad)])
     begin = np.cumsum(lengths + len(pad)) - lengths - len(pad)
     starts = np.concatenate([np.arange(b, b + n) for b, n in zip(begin, lengths)])
-    found = index.candidates(joined, starts)
-    text = np.searchsorted(begin, found[:, 0], "right") - 1
-    seen = np.unique(np.column_stack([text, found[:, 1], found[:, 0] - begin[text] - found[:, 2]]), axis=0)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    for t, k, at in seen.tolist():
-        item = index.words[k].tolist()
-        if hit := verified(item, sequences[t], at, int(ratio * len(item))):
-            best[t, k] = min(best.get((t, k), hit), hit)
+
+    def verify(found: list[np.ndarray]) -> None:
+        places = np.concatenate(found)
+        text = np.searchsorted(begin, places[:, 0], "right") - 1
+        for t, k, at in np.unique(np.column_stack([text, places[:, 1], places[:, 0] - begin[text] - places[:, 2]]), axis=0).tolist():
+            item = index.lists[k]
+            if hit := verified(item, sequences[t], at, int(ratio * len(item))):
+                best[t, k] = min(best.get((t, k), hit), hit)
+
+    for a in range(0, len(starts), RUN_STARTS):
+        run, open_, n = starts[a : a + RUN_STARTS], [], 0
+        for found in index.candidates(joined[run[0] : run[-1] + len(pad) + 1], run - run[0]):
+            open_.append(found + [run[0], 0, 0])
+            n += len(found)
+            if n >= RUN_CANDIDATES:
+                verify(open_)
+                open_, n = [], 0
+        if n:
+            verify(open_)
     return [(t, k, *hit) for (t, k), hit in best.items()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and item it holds: ``doc_id``, ``item_id``, ``distance``, ``item_words``, and the words of the document from ``start_word`` to before ``end_word``."""
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.coalesce(F.col(item_text), F.lit("")).cast("binary").alias("text"))
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    cuts = max(1, math.ceil(size / BLOCK_BYTES))
-    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+def normal(text: Column) -> Column:
+    """The words of an item with one blank between them; items of one such text are one class."""
+    marks = "".join(f"\\x{{{c:x}}}" for c in PUNCTUATION)
+    return F.trim(F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), f"[{marks} \\t\\n\\x0B\\f\\r]+", " "))
+
+
+@lru_cache(1)
+def stored_index(folder: str, ratio: float) -> Index:
+    """The index of a block, read from the shared folder inside a task. The last one is kept."""
+    block = read_table(folder)
+    return Index(list(zip(block.column("class_id").to_pylist(), utf8(block, "words"))), ratio)
+
+
+class Blocks:
+    """Classes of items in the shared folder: ``classes`` (class_id, words) and a folder for each block."""
+
+    def __init__(self, items: DataFrame, ratio: float):
+        """``items`` has a column ``words``."""
+        self.ratio = ratio
+        self.classes = written(items.where("words <> ''").select("words").distinct().withColumn("class_id", F.monotonically_increasing_id()))
+        size = self.classes.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+        cuts = math.ceil(size / BLOCK_BYTES)
+        root = shared_folder(items.sparkSession)
+        if cuts:
+            dealt = self.classes.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(cuts)))
+            dealt.repartition(cuts, "block").write.partitionBy("block").parquet(root)
+        # hashing may leave a block of few items without any
+        present = self.classes.select(F.pmod(F.xxhash64("words"), F.lit(max(cuts, 1))).alias("block")).distinct().collect()
+        self.folders = [f"{root}/block={r['block']}" for r in sorted(present)]
+
+    def over(self, docs: DataFrame, text_col: str, make, schema: str) -> DataFrame:
+        """``make(run, hits)`` for runs of documents, each a table; hits are (row, class, distance, words, start, end)."""
+        folders, ratio = self.folders, self.ratio
+
+        def through(run: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(run)
+            texts, hits = utf8(table, text_col), []
+            for folder in folders:
+                known = stored_index(folder, ratio)
+                for a in range(0, len(texts), 256):
+                    hits += [(a + t, known.ids[k], d, len(known.words[k]), s, e) for t, k, d, s, e in held(texts[a : a + 256], known, ratio)]
+            yield from make(table, hits).to_batches()
 
-    def block(part: int) -> DataFrame:
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(cuts)) == part)
-        index = docs.sparkSession.sparkContext.broadcast([(r[0], bytes(r[1])) for r in own.collect()])
+        def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            run, size = [], 0
+            for batch in batches:
+                if batch.num_rows:
+                    run.append(batch)
+                    size += batch.nbytes
+                if size >= RUN_BYTES or (run and len(folders) == 1):
+                    yield from through(run)
+                    run, size = [], 0
+            if run:
+                yield from through(run)
 
-        def make():
-            known = Index(index.value, ratio)
+        return docs.mapInArrow(mapped, schema)
 
-            def one(batch):
-                ids, out = batch.column(0).to_pylist(), []
-                texts = utf8(batch)
-                for a in range(0, len(texts), 256):
-                    out += [(ids[a + t], known.ids[k], d, len(known.words[k]), s, e) for t, k, d, s, e in held(texts[a : a + 256], known, ratio)]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                return pa.RecordBatch.from_arrays([pa.array([r[c] for r in out], t) for c, t in enumerate(kinds)], ["doc_id", "item_id", "distance", "item_words", "start_word", "end_word"])
 
-            return one
+def find_classes(docs: DataFrame, blocks: Blocks, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document and class of items it holds."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    names = [f.split()[0] for f in FOUND.split(", ")]
 
-        return over_batches(chosen, make, f"doc_id bigint, {FOUND}")
+    def make(run: pa.Table, hits: list[tuple]) -> pa.Table:
+        ids = run.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
+        return pa.table([ids, *(pa.array([h[c + 1] for h in hits], t) for c, t in enumerate(kinds))], names=["doc_id", *names])
 
-    found = block(0)
-    for part in range(1, cuts):
-        found = found.union(block(part))
-    return found
+    chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    return blocks.over(chosen, "text", make, f"doc_id bigint, {FOUND}")
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """One row per document and item it holds: ``doc_id``, ``item_id``, ``distance``, ``item_words``, and the words of the document from ``start_word`` to before ``end_word``."""
+    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), normal(F.col(item_text)).alias("words"))
+    blocks = Blocks(items, ratio)
+    members = written(items.join(blocks.classes, "words").select("class_id", "item_id"))
+    found = find_classes(docs, blocks, id_col, text_col)
+    return found.join(members, "class_id").select("doc_id", "item_id", "distance", "item_words", "start_word", "end_word")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, text_col: str = "text", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    return docs.join(find(docs, benchmark, ratio).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    blocks = Blocks(benchmark.select(normal(F.col(item_text)).alias("words")), ratio)
+
+    def make(run: pa.Table, hits: list[tuple]) -> pa.Table:
+        clean = np.ones(run.num_rows, bool)
+        clean[[h[0] for h in hits]] = False
+        return run.filter(pa.array(clean))
+
+    return blocks.over(docs, text_col, make, docs.schema)
