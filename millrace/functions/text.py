@@ -34,10 +34,25 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
 
+_SPECIAL = re.compile(r"\\g<(?P<group>\w+)>|\\(?P<number>\d{1,2})|\\(?P<escape>.)|(?P<plain>[\\$\d])", re.S)
+_CONTROL = {"n": "\n", "t": "\t", "r": "\r", "f": "\f", "v": "\v", "a": "\a", "b": "\b"}
+
+
 def java_replacement(text: str) -> str:
-    r"""A replacement with ``\1`` group references in the form the JVM expects."""
-    escaped = text.replace("$", r"\$")
-    return re.sub(r"\\(\d)", r"$\1", escaped)
+    r"""A replacement with ``\1``, ``\g<1>`` and ``\g<name>`` references in the form the JVM expects.
+
+    Digits of the text are escaped, as the JVM would take them for part of a group number before them. A
+    backslash before any other character than a letter of a control character stands for itself.
+    """
+
+    def one(found: re.Match) -> str:
+        if group := found["group"] or found["number"]:
+            return f"${group}" if group.isdigit() else f"${{{group}}}"
+        if (escape := found["escape"]) is not None:
+            return _CONTROL.get(escape) or r"\\" + (re.sub(r"[$\d]", r"\\\g<0>", escape) if escape != "\\" else "")
+        return "\\" + found["plain"]
+
+    return _SPECIAL.sub(one, text)
 
 
 def replace(c: Column, find: str, replacement: str, regex: bool = False) -> Column:
@@ -60,5 +75,5 @@ def slice_(c: Column, start: int | None, stop: int | None) -> Column:
 
 
 def parts(c: Column, separator: str, regex: bool = False, max_splits: int | None = None) -> Column:
-    pattern = separator if regex else r"\Q" + separator + r"\E"
+    pattern = separator if regex else re.escape(separator)
     return F.split(c, pattern, -1 if not max_splits or max_splits < 0 else max_splits + 1)

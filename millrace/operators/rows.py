@@ -61,9 +61,21 @@ def first_rows(df: DataFrame, n: int) -> DataFrame:
     return df.limit(n)
 
 
-def sample_rows(df: DataFrame, n: int = 10_000, seed: int = SEED) -> DataFrame:
-    """Exactly ``n`` random rows without replacement, or all rows if there are fewer."""
+def sample_rows(df: DataFrame, n: int = 10_000, seed: int = SEED, by: Sequence[str] = ()) -> DataFrame:
+    """Exactly ``n`` random rows without replacement, or all rows if there are fewer.
+
+    ``by`` names columns that tell the rows apart. The sample is then the rows whose key and seed have the
+    least digests: one scan in which each task keeps at most n rows, and the same rows however the table
+    is partitioned and whichever task is run again. Without it equal rows would share a digest and come
+    or stay away together, so rows are drawn by their place, in two scans.
+    """
     need_batch(df, "sampling")
+    if key := need_columns(df, by):
+        digest = F.md5(F.concat_ws("\x1f", F.lit(str(seed)), *[quoted(c).cast("string") for c in key]).cast("binary"))
+        drawn = df.withColumn("__digest", digest)
+        if n <= TOP_LIMIT:
+            return drawn.orderBy("__digest", *[quoted(c) for c in key]).limit(n).drop("__digest")
+        return number_rows(drawn, ["__digest", *key], "__row").where(F.col("__row") < n).drop("__digest", "__row")
     total = df.count()
     if total <= n:
         return df

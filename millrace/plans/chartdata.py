@@ -88,9 +88,16 @@ def line_chart(df: DataFrame, x: str, y, groups: Sequence[str] = (), sort: bool
     return sort_rows(rows, [x]) if sort else rows
 
 
-def scatter_chart(df: DataFrame, columns: Sequence[str], n: int = 10_000, seed: int = 123) -> DataFrame:
-    """Sampled points of two or more columns (also for strip, 3-D, matrix and parallel charts)."""
-    return sample_rows(used(df, columns), n, seed)
+def scatter_chart(df: DataFrame, columns: Sequence[str], n: int = 10_000, seed: int = 123, by: Sequence[str] = ()) -> DataFrame:
+    """Sampled points of two or more columns (also for strip, 3-D, matrix and parallel charts).
+
+    With ``by``, columns that tell the rows apart, the points are the same on every run.
+    """
+    if not as_list(by):
+        return sample_rows(used(df, columns), n, seed)
+    names = need_columns(df, columns)
+    points = drop_missing_rows(df.select(*[quoted(c) for c in dict.fromkeys([*names, *need_columns(df, by)])]), names)
+    return sample_rows(points, n, seed, by).select(*[quoted(c) for c in names])
 
 
 def trendline(df: DataFrame, x: str, y: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from millrace.contract import as_list, quoted
 from millrace.operators.rows import keep_top_values, sample_rows, top_values, value_table
 from millrace.plans import profile
 from millrace.plans.power import predictive_matrix
@@ -31,11 +32,12 @@ def _left_out(df: DataFrame, columns: list[str], top: int) -> dict[str, DataFram
     return {"left_out": reduce(DataFrame.unionByName, parts)} if parts else {}
 
 
-def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_category: bool = False, top: int = TOP_CATEGORIES) -> dict[str, DataFrame]:
+def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_category: bool = False, top: int = TOP_CATEGORIES, by: Sequence[str] = ()) -> dict[str, DataFrame]:
     """The tables that describe how y depends on x, chosen by what both columns mean.
 
     Of a column with many categories the ``top`` most frequent are shown one by one; ``left_out`` says how
-    many categories and rows the others are, and ``counts`` sums them up in rows of their own.
+    many categories and rows the others are, and ``counts`` sums them up in rows of their own. ``by``
+    names columns that tell the rows apart, for a scatter of the same points on every run.
     """
     if x == y:
         return {"summary": profile.column_summary(df, [x])}
@@ -56,7 +58,7 @@ def relate(df: DataFrame, x: str, y: str, x_as_category: bool = False, y_as_cate
         return {
             "density": profile.density_2d(df, x, y),
             "predictive_density": profile.density_2d(df, x, y, normalize="x"),
-            "scatter": sample_rows(df.select(x, y)),
+            "scatter": sample_rows(df, by=by).select(quoted(x), quoted(y)) if as_list(by) else sample_rows(df.select(quoted(x), quoted(y))),
         }
     many = [n for n in (x, y) if kinds[n] == "cat300"]
     if a == "numeric":

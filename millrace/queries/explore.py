@@ -214,6 +214,11 @@ query("h07_violin", lambda t: rounded(chart.violin_chart(t("lineitem"), "l_quant
               round(count(x.bin) / (sum(count(x.bin)) OVER (PARTITION BY c.l_returnflag) * 2.5), 6) AS density
           FROM (SELECT DISTINCT l_returnflag FROM lineitem) c, g, r LEFT JOIN (SELECT l_returnflag, least(floor((l_quantity - lo) / 2.5), 19) AS bin FROM lineitem, r) x ON x.bin = g.bin AND x.l_returnflag = c.l_returnflag
           GROUP BY c.l_returnflag, g.bin, lo""")
+query("h04_scatter_by_key", lambda t: chart.scatter_chart(t("lineitem"), ["l_quantity", "l_extendedprice"], 2000, by=["l_orderkey", "l_linenumber"]),
+      """SELECT l_quantity, l_extendedprice FROM lineitem
+         ORDER BY md5('123' || chr(31) || CAST(l_orderkey AS VARCHAR) || chr(31) || CAST(l_linenumber AS VARCHAR)), l_orderkey, l_linenumber LIMIT 2000""")
+query("e22_relate_scatter_by_key", lambda t: relate.relate(t("orders"), "o_custkey", "o_totalprice", by=["o_orderkey"])["scatter"],
+      "SELECT o_custkey, o_totalprice FROM orders ORDER BY md5('123' || chr(31) || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 10000")
 query("h08_strip", lambda t: chart.scatter_chart(labelled(t), ["lang", "quality"], 10**6), f"SELECT lang, quality FROM {_LABELLED} WHERE quality IS NOT NULL")
 query("h09_density_heatmap", lambda t: rounded(chart.density_chart(t("lineitem"), "l_quantity", "l_extendedprice", "l_discount", fn="avg").select("x_bin", "y_bin", "value")),
       _CELLS.split("b AS (")[0] + """b AS (SELECT CAST(least(floor((l_quantity - xl) / ((xh - xl) / 10)), 9) AS INTEGER) AS x_bin, CAST(least(floor((l_extendedprice - yl) / ((yh - yl) / 10)), 9) AS INTEGER) AS y_bin, l_discount FROM lineitem, r)

@@ -174,14 +174,16 @@ query("w03_cumulative_sum_by_group", lambda t: rounded(m.cumulative_sum(
 
 # --- sort, sample, top-k, pages ------------------------------------------------------------------
 
-query("o01_sort_rows", lambda t: m.sort_rows(labelled(t), [("quality", "desc"), "n_chars", "doc_id"]).limit(700),
-      f"SELECT * FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, n_chars, doc_id LIMIT 700")
-query("o02_sort_as_text", lambda t: m.sort_rows(t("documents").select("doc_id", "lang"), "doc_id", as_text=True).limit(150),
-      "SELECT doc_id, lang FROM documents ORDER BY CAST(doc_id AS VARCHAR) LIMIT 150")
+query("o01_sort_rows", lambda t: m.sort_rows(labelled(t), [("quality", "desc"), "n_chars", "doc_id"]),
+      f"SELECT * FROM {_LABELLED} ORDER BY quality DESC NULLS LAST, n_chars, doc_id")
+query("o02_sort_as_text", lambda t: m.sort_rows(t("documents").select("doc_id", "lang"), "doc_id", as_text=True),
+      "SELECT doc_id, lang FROM documents ORDER BY CAST(doc_id AS VARCHAR)")
 query("o03_first_rows", lambda t: m.first_rows(t("lineitem"), 1234).agg(F.count(F.lit(1)).alias("n")),
       "SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 1234)")
 query("o04_sample_rows", lambda t: m.sample_rows(t("orders"), 1000).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_orderkey").alias("n_keys")),
       "SELECT least(1000, count(*)) AS n, least(1000, count(*)) AS n_keys FROM orders")
+query("o04_sample_by_key", lambda t: m.sample_rows(t("orders"), 1000, by=["o_orderkey"]).select("o_orderkey", "o_totalprice", "o_orderpriority"),
+      "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders ORDER BY md5('123' || chr(31) || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 1000")
 query("o05_keep_top_values", lambda t: m.keep_top_values(t("documents").select("doc_id", "source"), "source", 5),
       "SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source ORDER BY count(*) DESC, source LIMIT 5)")
 query("o05_top_values", lambda t: m.top_values(t("events"), "user_id", 20),

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from millrace.contract import quoted
+from millrace.session import pin
 from millrace.sources.readers import read_parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,7 +20,7 @@ class Tables:
     """Loads the given tables by name."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark, self.folder = pin(spark), folder
 
     def __call__(self, name: str) -> DataFrame:
         return read_parquet(self.spark, f"{self.folder}/{name}.parquet")

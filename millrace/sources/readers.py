@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from millrace.contract import as_list, need_order, quoted
 from millrace.operators.rows import SEED, sample_rows, sort_rows
-from millrace.session import pin
 
 _SOURCES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -18,7 +17,7 @@ def _limited(df: DataFrame, limit: int | None) -> DataFrame:
 
 
 def read_parquet(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    return _limited(pin(spark).read.parquet(path), limit)
+    return _limited(spark.read.parquet(path), limit)
 
 
 def read_csv(
@@ -33,7 +32,6 @@ def read_csv(
 
     With another decimal mark than a point, text columns made of such numbers only become doubles.
     """
-    pin(spark)
     reader = spark.read.option("header", True).option("sep", sep)
     if schema is not None and decimal == ".":
         return _limited(reader.schema(schema).csv(path), limit)
@@ -78,18 +76,19 @@ def read_table(
     n: int | None = None,
     order_by: Sequence[str] | None = None,
     seed: int = SEED,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """A catalog table (``table``, ``database.table`` or ``catalog.database.table``).
 
-    ``n`` limits it to the first rows, a random sample, or the last rows in ``order_by``.
+    ``n`` limits it to the first rows, a random sample (see ``sample_rows`` for ``by``), or the last rows in ``order_by``.
     """
-    df = pin(spark).table(name)
+    df = spark.table(name)
     if n is None or n <= 0:
         return df
     if mode == "first":
         return df.limit(n)
     if mode == "random":
-        return sample_rows(df, n, seed)
+        return sample_rows(df, n, seed, by)
     if mode == "last":
         names = need_order(df, order_by, "reading the last rows")
         return sort_rows(df, [(c, "desc") for c in as_list(names)]).limit(n)

@@ -176,6 +176,10 @@ def test_text_operators(spark):
     for start, stop in ((None, None), (2, None), (None, 3), (-4, None), (None, -3), (1, -1), (-50, 2), (5, 2), (3, 99)):
         assert run(m.slice_text, start, stop) == [None if t is None else t[start:stop] for t in texts]
     assert run(m.replace_text, "(o)'(n)", r"\2$\1", regex=True)[0] == "  n$oeil-smith 2nd\t"
+    assert run(m.replace_text, "(o)'(n)", r"\g<2>0\\7\1", regex=True)[0] == "  n0\\7oeil-smith 2nd\t"
+    assert run(m.replace_text, "(?<first>o)'", r"\g<first>\n5$1\q", regex=True)[0] == "  o\n5$1\\qneil-smith 2nd\t"
+    tens = "".join(f"({c})" for c in "o'neil-smi")
+    assert run(m.replace_text, tens, r"\10\1", regex=True)[0] == "  ioth 2nd\t"
 
 
 def test_split_renames_clashes(spark):
@@ -185,6 +189,23 @@ def test_split_renames_clashes(spark):
     assert [tuple(r)[2:] for r in out.orderBy("s_1_x").collect()] == [("a", "b", "c"), ("d", None, None), (None, None, None)]
 
 
+@pytest.mark.parametrize("separator", [r"\E", r"\Q", ".*", "a|b", "[", "\n", "- #", "é", "$1"])
+def test_split_takes_a_separator_as_it_is(spark, separator):
+    texts = [f"x{separator}y{separator}{separator}z", "none", ""]
+    out = m.split_text(spark.createDataFrame([(t,) for t in texts], "s string"), "s", separator, n_parts=4)
+    assert {r[0]: [x for x in r[1:] if x is not None] for r in out.collect()} == {t: t.split(separator) for t in texts}
+
+
+def test_readers_leave_the_session_as_it_is(spark, tmp_path):
+    spark.range(3).write.csv(str(tmp_path / "t"), header=True)
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert m.read_csv(spark, str(tmp_path / "t")).count() == 3
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"
+    finally:
+        m.pin(spark)
+
+
 def test_values(spark):
     df = spark.createDataFrame([(1, "a", True, 1.0), (2, "1", False, NAN)], "i int, s string, b boolean, f double")
     one = [tuple(r) for r in m.replace_value(df, 1, 9).orderBy("i").collect()]

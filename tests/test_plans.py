@@ -208,6 +208,27 @@ def test_sample_is_exact(spark):
     assert m.sample_rows(df, 50_000).count() == 20_000
 
 
+def test_keyed_sample(spark, thin_slices, monkeypatch):
+    """One scan and no sort of the table; the same rows however they are dealt, also beyond the bound of one task."""
+    from millrace.operators import rows
+
+    df = spark.range(5_000).select("id", (F.col("id") % 7).alias("x"))
+    got = m.sample_rows(df, 300, by=["id"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range") == 1 and "GlobalLimit" in plan and "TakeOrdered" in got._jdf.queryExecution().executedPlan().toString()
+    want = sorted(map(tuple, got.collect()))
+    assert len(set(want)) == 300 and set(want) < set(map(tuple, df.collect()))
+    assert sorted(map(tuple, m.sample_rows(df.repartition(13, "x"), 300, by="id").collect())) == want
+    assert sorted(map(tuple, m.sample_rows(df, 300, seed=1, by="id").collect())) != want
+    monkeypatch.setattr(rows, "TOP_LIMIT", 100)
+    assert sorted(map(tuple, m.sample_rows(df.repartition(5), 300, by="id").collect())) == want
+    assert m.sample_rows(df, 9_000, by="id").count() == 5_000 and m.sample_rows(df.limit(0), 9, by="id").count() == 0
+    mean = sum(i for i, _ in want) / 300
+    assert abs(mean - 2_500) < 350
+    with pytest.raises(ValueError, match="no columns"):
+        m.sample_rows(df, 3, by="key")
+
+
 def test_deep_pages(spark, thin_slices, monkeypatch):
     from millrace.operators import rows
 
