@@ -94,6 +94,11 @@ def _parts(df: DataFrame, names: Sequence[str], stem: str, values: Sequence[Colu
     return parts
 
 
+def sort_parts(df: DataFrame, names: Sequence[str], stem: str) -> list[Column]:
+    """The columns as a key whose order is that of a sort, missing values last."""
+    return _parts(df, names, stem)
+
+
 def _is_text(df: DataFrame, name: str) -> bool:
     return isinstance(dtype(df, name), (T.StringType, T.BinaryType))
 

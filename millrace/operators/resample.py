@@ -6,10 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from millrace.contract import DATETIMES, all_true, clean, dtype, missing, need_batch, quoted
+from millrace.contract import DATETIMES, all_true, clean, dtype, missing, need_batch, need_columns, quoted
 from millrace.functions.calendar import Frequency, origin, unit_name
 from millrace.operators.grouping import drop_missing_keys, group_agg
-from millrace.operators.ordered import Measure, running, slice_rows
+from millrace.operators.ordered import Measure, running, slice_rows, sort_parts
 from millrace.selectors import resolve
 
 FILLS = ("asfreq", "ffill", "bfill", "nearest", "interpolate")
@@ -84,6 +84,8 @@ def resample(
     ``size`` gives a ``count`` column, ``ohlc`` four columns per value. Fills put the rows on the
     grid of period labels: exact matches only, previous, next, nearest row, or a straight line
     between the neighbouring values. ``first``, ``last`` and ``ohlc`` follow time, then ``order_by``.
+    Fills need one row per time; with ``order_by`` the last of the rows at a time stands for it (rows
+    equal there too: the one with the greatest values).
     """
     _series(df, ts)
     by = resolve(df, by) if by is not None else []
@@ -91,7 +93,7 @@ def resample(
     anchored = frequency_of(rows, ts, every, unit)
     names = _values(df, ts, by, columns, how)
     if how in FILLS:
-        return _fill(rows, ts, by, names, how, anchored)
+        return _fill(rows, ts, by, names, how, anchored, list(order_by or []))
     if how not in AGGREGATES:
         raise ValueError(f"unknown calculation {how!r}; use one of {FILLS + AGGREGATES}")
     freq, lo, hi = anchored or (Frequency(unit_name(unit), every, 0), 0, 0)
@@ -125,12 +127,22 @@ def _has_duplicates(rows: DataFrame, keys: Sequence[str]) -> bool:
     return not repeated.isEmpty()
 
 
-def _fill(rows: DataFrame, ts: str, by: list[str], names: list[str], how: str, anchored) -> DataFrame:
+def _last_at_time(rows: DataFrame, keys: Sequence[str], names: Sequence[str], order_by: Sequence[str]) -> DataFrame:
+    """One row per time; an aggregate, so that a time with very many rows is combined before the shuffle."""
+    order = need_columns(rows, order_by) + [n for n in names if isinstance(dtype(rows, n), T.AtomicType)]
+    picked = rows.groupBy(*[quoted(k) for k in keys]).agg(
+        F.max_by(F.struct(*[quoted(n).alias(f"v{i}") for i, n in enumerate(names)]), F.struct(*sort_parts(rows, order, "o"))).alias("__last"))
+    return picked.select(*[quoted(k) for k in keys], *[F.col(f"__last.v{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _fill(rows: DataFrame, ts: str, by: list[str], names: list[str], how: str, anchored, order_by: list[str]) -> DataFrame:
     out_columns = [*by, ts, *names]
     if anchored is None:
         return rows.select(*[quoted(c) for c in out_columns])
-    if _has_duplicates(rows, [*by, ts]):
-        raise ValueError(f"{ts!r} has duplicates: fill calculations need one row per time")
+    if order_by:
+        rows = _last_at_time(rows, [*by, ts], names, order_by)
+    elif _has_duplicates(rows, [*by, ts]):
+        raise ValueError(f"{ts!r} has duplicates: fill calculations need one row per time, or order_by")
     if how == "interpolate":
         texts = [n for n in names if not isinstance(dtype(rows, n), T.NumericType)]
         if texts:

@@ -89,7 +89,7 @@ query("t08_forward_fill", lambda t: m.resample(sparse(t), "o_orderdate", 1, "D",
       f"{_grid('1 day')} SELECT g.d AS o_orderdate, total, orders FROM g ASOF LEFT JOIN s ON g.d >= s.d")
 query("t08_backward_fill", lambda t: m.resample(sparse(t), "o_orderdate", 1, "D", "bfill"),
       f"{_grid('1 day')} SELECT g.d AS o_orderdate, total, orders FROM g ASOF LEFT JOIN s ON g.d <= s.d")
-query("t08_forward_fill_irregular", lambda t: m.resample(events(t), "ts", 1, "H", "ffill"),
+query("t08_forward_fill_irregular", lambda t: m.resample(events(t), "ts", 1, "H", "ffill", order_by=["event_id"]),
       f"""WITH g AS (SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL '1 hour')) AS k FROM events)
           SELECT g.k AS ts, event_id, event_type, value FROM g ASOF LEFT JOIN events e ON g.k >= e.ts""")
 query("t09_nearest", lambda t: m.resample(sparse(t), "o_orderdate", 12, "H", "nearest"),

@@ -201,3 +201,17 @@ def test_the_number_of_slices_is_a_setting(thin_slices):
         assert len(sizes(slice_rows(thin_slices.range(600), [], ["id"]))) == 3
     finally:
         thin_slices.conf.unset("millrace.maxSlices")
+
+
+def test_fills_with_equal_times(spark, thin_slices):
+    """With ``order_by`` the last row of a time stands for it; missing order values are last."""
+    rows = [(f"2024-01-0{d} {h:02d}:30:00", i, float(10 * d + i)) for d in (1, 3) for h in (4, 9) for i in range(60)] + [("2024-01-03 09:30:00", None, -1.0)]
+    df = spark.createDataFrame(rows, "ts string, i int, v double").withColumn("ts", F.col("ts").cast("timestamp"))
+    with pytest.raises(ValueError, match="duplicates"):
+        m.resample(df, "ts", 1, "D", "ffill", columns=["v"])
+    for how, want in (("ffill", [None, 69.0, 69.0]), ("bfill", [69.0, 89.0, 89.0])):
+        got = {r["ts"].day: r["v"] for r in m.resample(df, "ts", 1, "D", how, columns=["v"], order_by=["i"]).collect()}
+        assert [got[d] for d in (1, 2, 3)] == want
+    later = m.resample(df, "ts", 12, "H", "ffill", columns=["v"], order_by=["i"]).unionAll(m.resample(df.unionAll(df), "ts", 12, "H", "ffill", columns=["v"], order_by=["i"]))
+    assert {r["v"] for r in later.where("ts = '2024-01-01 12:00:00'").collect()} == {69.0}
+    assert m.resample(df.where("i IS NULL OR i = 3"), "ts", 1, "min", "asfreq", columns=["v"], order_by=["i"]).where("v = -1").count() == 1
