@@ -94,3 +94,28 @@ def test_one_count_and_no_fits(spark, monkeypatch):
     plan = counted._jdf.queryExecution().executedPlan().toString()
     assert plan.count("HashAggregate") == 2 and plan.count("Exchange") == 1 and "Join" not in plan
     assert not hasattr(power, "DecisionTreeRegressor")
+
+
+def test_pairs_are_not_exploded(spark, monkeypatch):
+    """Only values of columns are written, and one row per slice, leaf and fold left open; not one per row and pair."""
+    from millrace.plans import power
+
+    written = []
+    monkeypatch.setattr(power, "settled", lambda d: written.append(d.cache()) or written[-1])
+    df = spark.range(4000).select("id", (F.col("id") * 7 % 4000).alias("a"), (F.col("id") * 11 % 4000).alias("b"), (F.col("id") % 3).cast("string").alias("c"))
+    assert predictive_matrix(df, fold_by=["id"]).count() == 16
+    assert sum(d.count() for d in written) < 4 * 4000
+    # leaves of many rows in one fold only take the nearest guess of a slice far away
+    spark.conf.set("millrace.rowsPerSlice", "100")
+    try:
+        keys = [i for i in range(4000) if fold(i) != 1]
+        ones = [i for i in range(4000) if fold(i) == 1]
+        rows = [(i, 10.0 + n, float(n % 5), "ab"[n % 2]) for n, i in enumerate(keys)] + [(i, 2.0, 7.0, "b") for i in ones]
+        found = {r["y"]: r for r in scores(spark.createDataFrame(rows, "id int, x double, y double, side string"), ["x"], ["y", "side"], ["id"]).collect()}
+    finally:
+        spark.conf.unset("millrace.rowsPerSlice")
+    for y, at, number in (("y", 2, True), ("side", 3, False)):
+        baseline, model = brute([(r[0], r[1], r[at]) for r in rows], number)
+        assert found[y]["model"] == pytest.approx(model, rel=1e-9)
+        if number:
+            assert found[y]["baseline"] == pytest.approx(baseline, rel=1e-9)
