@@ -10,8 +10,10 @@ from millrace.contract import clean, common_type, dtype, need_batch, need_column
 from millrace.functions.aggregates import PLAIN, plain
 from millrace.operators.grouping import drop_missing_keys, group_agg, stacked
 from millrace.operators.missing import drop_missing_columns
+from millrace.operators.quantiles import few_values, quantiles_of_counts
 from millrace.operators.states import quantile_of, quantile_state
 from millrace.selectors import resolve
+from millrace.session import settled
 
 MAX_COLUMNS = 1000
 
@@ -91,6 +93,8 @@ def pivot_table(
                     F.col("__v"),
                 )
             )
+        elif agg == "median":
+            parts.append(_medians_with_margins(tagged, marks, total_row, levels, value, margins_name))
         else:
             for by_row, by_col in levels:
                 keys = (marks if by_row else []) + (["__head"] if by_col else [])
@@ -122,6 +126,22 @@ def pivot_table(
     return wide.withColumns(changed) if changed else wide
 
 
+def _medians_with_margins(tagged: DataFrame, marks: list[str], total_row: list, levels: list[tuple[bool, bool]], value: str, margins_name: str) -> DataFrame:
+    """Medians of cells and margins out of one count of the values, which the margins add up."""
+    heading = [*marks, "__head"]
+    counts = tagged.groupBy(*[quoted(m) for m in heading], clean(tagged, value).cast("double").alias("__w")).agg(F.count(clean(tagged, value)).alias("__n"))
+    places = [
+        F.struct(*[(quoted(m) if by_row else t).alias(m) for m, t in zip(marks, total_row)], (F.col("__head") if by_col else F.lit(margins_name)).alias("__head"))
+        for by_row, by_col in levels
+    ]
+    each = counts.select(F.col("__w"), "__n", F.explode(F.array(*places)).alias("__p")).select("__p.*", "__w", "__n")
+    if few_values(tagged, [value]):
+        return each.groupBy(*[quoted(m) for m in heading]).agg(F.percentile("__w", F.lit(0.5), F.col("__n")).alias("__v"))
+    added = settled(each.groupBy(*[quoted(m) for m in heading], "__w").agg(F.sum("__n").alias("__n")))
+    found = quantiles_of_counts(added, heading, "__w", "__n", {"__v": [0.5]})
+    return found.select(*[quoted(m) for m in heading], F.get("__v", F.lit(0)).alias("__v"))
+
+
 def pivot_wide(df: DataFrame, variable: str, value: str, values: Sequence | None = None, max_columns: int = MAX_COLUMNS) -> DataFrame:
     """Long to wide: one column per value of ``variable``; the other columns identify the row.
 

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from millrace.contract import all_true, clean, need_batch, quoted, same
-from millrace.operators.ordered import Measure, running, slice_rows
+from millrace.operators.ordered import Measure, Sliced, running, slice_rows
 
 DISTINCT_KEY = "millrace.percentileDistinctLimit"
 DISTINCT_LIMIT = 50_000
@@ -103,10 +103,19 @@ def _ranked(df: DataFrame, keys: Sequence[str], column: str, rows: int, wanted:
     groups = [quoted(k) for k in keys]
     values = df.select(*groups, clean(df, column).cast("double").alias("__v")).where(F.col("__v").isNotNull())
     counts = values.groupBy(*groups, F.col("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    sliced = running(
-        slice_rows(counts, keys, ["__v"], rows, drawn_from=values),
-        [Measure("__upto", "sum", F.col("__n")), Measure("__all", "total", F.col("__n"))],
-    )
+    return _picked(slice_rows(counts, keys, ["__v"], rows, drawn_from=values), keys, wanted)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], value: str, count: str, wanted: dict[str, Sequence[float]]) -> DataFrame:
+    """Quantiles of a table that says how often each group has which value, a value once; missing ones count as 0."""
+    named = counts.select(*[quoted(k) for k in keys], quoted(value).alias("__v"), quoted(count).alias("__n"))
+    return _picked(slice_rows(named, keys, ["__v"]), keys, wanted)
+
+
+def _picked(counts: Sliced, keys: Sequence[str], wanted: dict[str, Sequence[float]]) -> DataFrame:
+    """The wanted ranks of counted values."""
+    groups = [quoted(k) for k in keys]
+    sliced = running(counts, [Measure("__upto", "sum", F.col("__n")), Measure("__all", "total", F.col("__n"))])
     picks, outs = [], []
     for j, (out, ps) in enumerate(wanted.items()):
         items = []

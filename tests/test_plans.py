@@ -251,3 +251,24 @@ def test_sketches_are_close(spark):
     exact = m.group_agg(df, [], {"m": ("v", "median"), "u": ("v", "nunique")}).first()
     rough = m.group_agg(df, [], {"m": ("v", "median"), "u": ("v", "nunique")}, accuracy=1000).first()
     assert abs(exact["m"] - rough["m"]) < 50 and abs(exact["u"] - rough["u"]) < 500
+
+
+def test_median_margins_from_one_count(spark, thin_slices):
+    """Medians of cells and margins in thin slices, with a row whose values are all missing; the values are counted once."""
+    import statistics
+
+    from millrace.operators import pivot
+
+    rows = [("ab"[i % 2], "xyz"[i % 3], float(i * 37 % 50)) for i in range(400)] + [("c", "x", None), ("c", "x", None)]
+    written, kept = [], pivot.settled
+    try:
+        pivot.settled = lambda d: written.append(1) or kept(d)
+        out = m.pivot_table(spark.createDataFrame(rows, "r string, h string, v double"), "r", "h", "v", "median", margins=True).collect()
+    finally:
+        pivot.settled = kept
+    got = {r["r"]: r.asDict() for r in out}
+    assert set(got) == {"a", "b", "c", "All"} and len(written) == 1
+    for r in ("a", "b", "All"):
+        for h in ("x", "y", "z", "All"):
+            assert got[r][h] == statistics.median(v for a, b, v in rows if v is not None and r in (a, "All") and h in (b, "All"))
+    assert got["c"]["x"] is None and got["c"]["All"] is None
