@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
+from pyspark.sql import functions as F
 
 from millrace.llm import binary, ctw, decontam, licenses, minhash, packing, pii, quality, tokens, toxicity, urls
 
@@ -271,3 +272,20 @@ def test_toxicity(spark):
     assert [got[i] >= toxicity.THRESHOLD for i in range(len(tests))] == [False, True, True, True, True, False, False]
     nothing = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").limit(0))
     assert nothing.score("you idiot") < 0.5
+
+
+def test_toxicity_learns_from_all_labels(spark):
+    """More labelled ids than an earlier bound of 20,000 all count; words of any small part of them are learned."""
+    bad = [f"{a}{b}{c}mur" for a in "bdfg" for b in "aeio" for c in "klmn"]
+    rows = spark.range(24_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") % 8 == 0, F.concat(F.lit("you "), F.get(F.array(*[F.lit(w) for w in bad]), (F.col("id") / 8).cast("int") % len(bad)))).otherwise("nice day all").alias("text"),
+        (F.col("id") % 8 == 0).cast("int").alias("toxic"))
+    seen = []
+    counted = toxicity.counted
+    try:
+        toxicity.counted = lambda r, chars: seen.append(r.count()) or counted(r, chars)
+        model = toxicity.fit(rows)
+    finally:
+        toxicity.counted = counted
+    assert seen == [24_000, 24_000]
+    assert all(model.score(f"you {w}") > 0.9 for w in bad) and model.score("nice day all") < 0.1
