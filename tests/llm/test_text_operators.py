@@ -289,3 +289,35 @@ def test_toxicity_learns_from_all_labels(spark):
         toxicity.counted = counted
     assert seen == [24_000, 24_000]
     assert all(model.score(f"you {w}") > 0.9 for w in bad) and model.score("nice day all") < 0.1
+
+
+def test_toxicity_bounds_leave_the_weights_as_they_are(spark):
+    """Bounds from the toxic texts and a part of the others drop no feature: the weights are those of a count of all, also where too many are likely."""
+    draw = random.Random(8)
+    common = [f"{a}{b}{c}" for a in ("bar", "lim", "ton", "ver") for b in ("ka", "do", "mi") for c in ("st", "rd", "l")]
+    rows = [(i, " ".join(draw.choices(common, k=12)) + (f" {draw.choice(['grubmol', 'zwackig'])} v e x l o" if i % 5 == 0 else " vexing"), int(i % 5 == 0)) for i in range(1500)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    sizes, tallied = [], toxicity.tallied
+    try:
+        toxicity.tallied = lambda r, of: sizes.append(r.count()) or tallied(r, of)
+        model = toxicity.fit(table)
+        few = toxicity.fit(table, max_features=5)
+    finally:
+        toxicity.tallied = tallied
+    assert 300 < sizes[1] < 700 and sizes[0] == sizes[2] == 1500  # all features are counted in a part only
+    size = {0: 1200, 1: 300}
+    seen: dict[str, list[int]] = {}
+    found = toxicity.all_features(model.chars)
+    for _, text, toxic in rows:
+        for f in found(text):
+            seen.setdefault(f, [0, 0])[toxic] += 1
+    expected = {}
+    for f, (n0, n1) in seen.items():
+        gain = np.log((n1 + 0.5) / 301) - np.log((n0 + 0.5) / 1201)
+        both = (n0 + n1) / 1500
+        z = (n1 / 300 - n0 / 1200) / np.sqrt(both * (1 - both + 1e-9) * (1 / 300 + 1 / 1200))
+        if n1 >= 8 and z >= 6 and gain >= 2.5:
+            expected[f] = (gain, z)
+    assert set(model.weights) == set(expected) and "=grubmol" in expected
+    assert all(abs(model.weights[f] - expected[f][0]) < 1e-9 for f in expected)
+    assert list(few.weights) == sorted(expected, key=lambda f: (-round(expected[f][1], 9), f))[:5]
