@@ -40,6 +40,8 @@ LEADS = 3
 BLOCK = 1024
 #: Codes of a set that go into a block.
 CARRIED = 512
+#: Rows a task turns into texts and sets at once, and pairs of texts.
+AT_ONCE = 500
 SEED = 20_240
 
 
@@ -49,7 +51,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> int:
         code = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
-            if len(self) >= 400_000:
+            if len(self) >= 200_000:
                 self.clear()
             self[word] = code
         return code
@@ -146,7 +148,7 @@ def signatures(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str
         return one
 
     chosen = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    return over_batches(chosen, make, "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>")
+    return over_batches(chosen, make, "doc_id bigint, n_shingles bigint, digest binary, sig binary, keys array<bigint>", AT_ONCE)
 
 
 def near(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -191,7 +193,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -
         return one
 
     met = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return over_batches(met.select("a", "b", "ta", "tb"), make, "a bigint, b bigint")
+    return over_batches(met.select("a", "b", "ta", "tb"), make, "a bigint, b bigint", AT_ONCE)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -223,7 +225,7 @@ def carried(texts: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
         return one
 
     named = texts.withColumnRenamed("doc_id", "rep").join(chosen, "rep")
-    return over_batches(named.select("rep", "text"), make, "rep bigint, codes binary").dropDuplicates(["rep"])
+    return over_batches(named.select("rep", "text"), make, "rep bigint, codes binary", AT_ONCE).dropDuplicates(["rep"])
 
 
 def blocks_apart(members: DataFrame, threshold: float, again: bool) -> DataFrame:

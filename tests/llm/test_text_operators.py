@@ -10,11 +10,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from millrace.llm import binary, ctw, decontam, licenses, minhash, packing, pii, quality, tokens, toxicity, urls
+from millrace.llm.common import over_batches
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = "the quick brown fox jumps over the lazy dog and runs on " * 400
@@ -321,3 +323,18 @@ def test_toxicity_bounds_leave_the_weights_as_they_are(spark):
     assert set(model.weights) == set(expected) and "=grubmol" in expected
     assert all(abs(model.weights[f] - expected[f][0]) < 1e-9 for f in expected)
     assert list(few.weights) == sorted(expected, key=lambda f: (-round(expected[f][1], 9), f))[:5]
+
+
+def test_texts_become_python_objects_in_slices(spark):
+    """A batch of many long texts is worked on a slice at a time, with the same rows."""
+    docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of row"), F.col("id").cast("string")).alias("text")).coalesce(1)
+    sizes = over_batches(docs, lambda: lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long", 500)
+    assert sorted(r[0] for r in sizes.collect()) == [300, 500, 500]
+    assert over_batches(docs, lambda: lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]), "n long").collect()[0][0] == 1300
+    taken, one = [], minhash.over_batches
+    try:
+        minhash.over_batches = lambda df, make, schema, rows=None: taken.append(rows) or one(df, make, schema, rows)
+        found = minhash.classes(docs, size=2).collect()
+    finally:
+        minhash.over_batches = one
+    assert len(found) == 1300 and taken.count(minhash.AT_ONCE) >= 3
