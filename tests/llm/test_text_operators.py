@@ -325,6 +325,61 @@ def test_toxicity_bounds_leave_the_weights_as_they_are(spark):
     assert list(few.weights) == sorted(expected, key=lambda f: (-round(expected[f][1], 9), f))[:5]
 
 
+def test_toxicity_counts_all_features_of_all_texts(spark):
+    """Rare and harmless features too are counted in every text, of either label."""
+    draw = random.Random(3)
+    texts = [" ".join(draw.choices(["stone", "stones", "v e x l o", "gr8t", "ünï", "a"], k=6)) + f" only{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(160)] + [None, ""]
+    rows = [(i, text, int(i % 4 == 0)) for i, text in enumerate(texts)]
+    got, tallied = [], toxicity.tallied
+
+    def noted(r, of):
+        found = tallied(r, of)
+        got.append([tuple(x) for x in found.collect()])
+        return found
+
+    try:
+        toxicity.tallied = noted
+        model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3))
+    finally:
+        toxicity.tallied = tallied
+    expected: dict[str, list[int]] = {}
+    for _, text, toxic in rows:
+        for f in toxicity.all_features(model.chars)(text or ""):
+            expected.setdefault(f, [0, 0])[toxic] += 1
+    counts: dict[str, list[int]] = {}
+    for f, n0, n1 in (x for part in got[1:] for x in part):
+        pair = counts.setdefault(f, [0, 0])
+        pair[0] += n0
+        pair[1] += n1
+    assert counts == expected and counts["=onlyba"] == [1, 0] and counts["=stone"][0] > 50
+
+
+def test_pieces_counted_as_numbers(monkeypatch):
+    """Packed counts equal counts of sets, over several rounds and where characters are too many to pack."""
+    draw = random.Random(4)
+    letters = "abß" * 30 + "éжあ𝒳"
+    texts = [{"".join(draw.choices(letters, k=draw.choice([1, 2, 3, 4, 5, 9, 70]))) for _ in range(draw.randrange(12))} for _ in range(300)]
+    wide = [{chr(0x4E00 + (7 * i + k) % 3000) * 2 + "ab" for k in range(9)} for i in range(300)]
+    monkeypatch.setattr(toxicity, "LETTERS_AT_ONCE", 400)
+    monkeypatch.setattr(toxicity, "MOST_HELD", 900)
+    for many in (texts, texts + wide, wide, [set()], []):
+        tally, rows = toxicity.PieceTally(lambda words: words), []
+        expected: dict[str, list[int]] = {}
+        for k, words in enumerate(many):
+            tally.add(k % 2, words)
+            if tally.full():
+                rows += tally.taken()
+            for f in set().union(*map(toxicity.features, words)):
+                expected.setdefault(f, [0, 0])[k % 2] += 1
+        counts: dict[str, list[int]] = {}
+        for f, n0, n1 in (x for r in rows + tally.taken() for x in zip(*(c.to_pylist() for c in r.columns))):
+            pair = counts.setdefault(f, [0, 0])
+            pair[0] += n0
+            pair[1] += n1
+        assert counts == expected
+    assert tally.taken() == []
+
+
 def test_texts_become_python_objects_in_slices(spark):
     """A batch of many long texts is worked on a slice at a time, with the same rows."""
     docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of row"), F.col("id").cast("string")).alias("text")).coalesce(1)
