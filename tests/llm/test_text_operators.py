@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 from pyspark.sql import functions as F
 
 from millrace.llm import binary, ctw, decontam, licenses, minhash, packing, pii, quality, tokens, toxicity, urls
-from millrace.llm.common import over_batches
+from millrace.llm.common import over_batches, perhaps_among
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 LONG = "the quick brown fox jumps over the lazy dog and runs on " * 400
@@ -380,6 +380,21 @@ def test_pieces_counted_as_numbers(monkeypatch):
     assert tally.taken() == []
 
 
+def test_perhaps_among_keeps_every_row_of_the_keys(spark):
+    """No row of a join is lost, of numbers or texts, repeated, negative or missing; nearly all others go; two types are left to the join."""
+    docs = spark.range(-3000, 3000).select(F.when(F.col("id") != 5, F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
+    docs = docs.unionAll(docs.where("doc_id % 10 = 0"))
+    keys = docs.where("doc_id % 7 = 0 OR doc_id IS NULL").select("doc_id", F.lit(1).alias("toxic"))
+    for kind in ("bigint", "string"):
+        d, k = (x.withColumn("doc_id", F.col("doc_id").cast(kind)) for x in (docs, keys))
+        kept = perhaps_among(d, k, "doc_id")
+        assert kept.columns == d.columns and kept.count() < 1000
+        assert sorted(map(tuple, kept.join(k, "doc_id").collect())) == sorted(map(tuple, d.join(k, "doc_id").collect()))
+    other = keys.withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert perhaps_among(docs, other, "doc_id").count() == docs.count()
+    assert perhaps_among(docs, keys.limit(0), "doc_id").count() == 0
+
+
 def test_texts_become_python_objects_in_slices(spark):
     """A batch of many long texts is worked on a slice at a time, with the same rows."""
     docs = spark.range(1300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of row"), F.col("id").cast("string")).alias("text")).coalesce(1)
